@@ -20,9 +20,9 @@ from placeshare.operators.vs_rest import vs_rest
 Metrics = Mapping[str, DataFrame]
 
 _STAGING = {"exclude_unclassified", "unclassified_ids", "unclassified_suffix"}
-_SHARES = _STAGING | {
+_SHARE_COUNTS = _STAGING | {
     "min_share_n", "work", "coursework", "use_case_base", "automation",
-    "collaboration_base", "success", "success_base", "z_wilson", "wilson_lo_centred",
+    "collaboration_base", "success", "success_base",
 }
 
 
@@ -48,12 +48,12 @@ METRICS: dict[str, Metric] = {
         Metric(
             "shares", ("source", "geo_id", "metric"),
             lambda i, staged, share_rows, d: share_rows,
-            frozenset(_SHARES),
+            frozenset(_SHARE_COUNTS | {"z_wilson", "wilson_lo_centred"}),
         ),
         Metric(
             "vs_rest", ("source", "geo_id", "metric"),
             lambda i, staged, share_rows, d: vs_rest(share_rows, d),
-            frozenset(_SHARES | {
+            frozenset(_SHARE_COUNTS | {
                 "min_rest", "z_rest", "rest_excludes_self", "subregion_parent",
                 "rest_two_sample",
             }),
@@ -69,7 +69,7 @@ METRICS: dict[str, Metric] = {
         Metric(
             "platform_gap", ("metric",),
             lambda i, staged, share_rows, d: platform_gap(share_rows, d),
-            frozenset(_SHARES | {
+            frozenset(_SHARE_COUNTS | {
                 "chat_source", "api_source", "z_gap", "gap_sign", "gap_two_sample",
             }),
         ),

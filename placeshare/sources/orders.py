@@ -80,38 +80,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, country, subregion and one label per facet, for every order line.
 
-    Three equi-joins on well-spread keys, with only the needed columns. Which sides are
-    broadcast is left to the size threshold.
+    Three equi-joins on well-spread keys, with only the needed columns; which sides are
+    broadcast is left to the size threshold. Keys and flags travel through the joins in their
+    short form and become labels afterwards.
     """
     orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", _use_case(F.col("o_orderpriority")).alias("use_case")
+        "o_orderkey", "o_custkey", "o_orderpriority"
     )
     customers = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"),
-        _country(F.col("c_nationkey")).alias("country"),
-        _subregion(F.col("c_nationkey"), F.col("c_mktsegment")).alias("subregion"),
-    )
-    parts = read_table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"),
-        F.when(F.col("p_brand") == "Brand#25", F.lit("not_classified"))
-        .otherwise(F.col("p_brand")).alias("request"),
-    )
-    line = F.col("l_linenumber")
-    collaboration = F.element_at(
-        F.array(*[F.lit(label) for label in COLLABORATION_LABELS]), line
+        "c_custkey", "c_nationkey", "c_mktsegment"
     )
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = read_table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"),
-        "l_partkey",
-        F.when(F.col("l_suppkey") % 4 == 0, "api").otherwise("chat").alias("source"),
-        collaboration.alias("collaboration"),
-        _task_success(F.col("l_returnflag")).alias("task_success"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
     )
-    placed = orders.join(customers, "o_custkey").drop("o_custkey")
+    placed = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", "o_orderpriority", "c_nationkey", "c_mktsegment"
+    )
+    labels = F.array(*[F.lit(label) for label in COLLABORATION_LABELS])
+    nation, brand = F.col("c_nationkey"), F.col("p_brand")
     return (
-        lines.join(parts, "l_partkey")
-        .join(placed, "o_orderkey")
-        .select("source", "country", "subregion", *SPEC.facets)
+        lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
+        .join(placed, F.col("o_orderkey") == F.col("l_orderkey"))
+        .select(
+            F.when(F.col("l_suppkey") % 4 == 0, "api").otherwise("chat").alias("source"),
+            _country(nation).alias("country"),
+            _subregion(nation, F.col("c_mktsegment")).alias("subregion"),
+            _use_case(F.col("o_orderpriority")).alias("use_case"),
+            F.element_at(labels, F.col("l_linenumber")).alias("collaboration"),
+            _task_success(F.col("l_returnflag")).alias("task_success"),
+            F.when(brand == "Brand#25", "not_classified").otherwise(brand).alias("request"),
+        )
     )
 
 
