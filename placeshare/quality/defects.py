@@ -13,17 +13,19 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
 from placeshare.operators.shares import shares
 from placeshare.operators.staging import stage_facts
+from placeshare.plans.jobs import concurrently, written_all
 from placeshare.plans.registry import METRICS, affected_metrics, build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
 from placeshare.quality.investigate import issue_counts, largest_errors
-from placeshare.quality.invariants import check_invariants
-from placeshare.quality.reconcile import reconcile_all
-from placeshare.sources.storage import written
+from placeshare.quality.invariants import check_invariants, invariant_frames
+from placeshare.quality.reconcile import reconcile_all, reconcile_metric
+from placeshare.sources.storage import new_path
 
 BY = ("defect",)
 
@@ -114,64 +116,90 @@ def _tagged(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return df.withColumn("defect", F.explode(F.array(*[F.lit(i) for i in ids])))
 
 
-def defect_metrics(
-    corpus: Corpus, defects: Sequence[Defect], metrics: Mapping[str, DataFrame] | None = None
-) -> dict[str, DataFrame]:
-    """Per metric, one frame with every defect's version of it.
+@dataclass(frozen=True)
+class Versions:
+    """Every defect's version of the metrics: the rebuilt ones, and who keeps the clean frame."""
 
-    Only metrics that read a changed knob are rebuilt; the others are the clean frame, repeated.
-    """
+    rebuilt: Mapping[str, Mapping[str, DataFrame]]  # metric -> defect -> frame
+    unmoved: Mapping[str, Sequence[str]]  # metric -> defects that do not touch it
+
+
+def defect_metrics(
+    corpus: Corpus, defects: Sequence[Defect], share_rows: DataFrame | None = None
+) -> Versions:
+    """Only metrics that read a changed knob are rebuilt."""
     clean = corpus.definition
-    changed = {defect.id: override(clean, defect) for defect in defects}
-    affected = {i: affected_metrics(d, clean) for i, d in changed.items()}
-    staged = stage_facts(corpus.inputs.facts, clean)
-    share_rows = metrics["shares"] if metrics is not None else shares(staged, clean)
-    base = metrics if metrics is not None else build_metrics(
-        corpus.inputs, clean, staged=staged, share_rows=share_rows
-    )
-    versions: dict[str, list[DataFrame]] = {name: [] for name in METRICS}
-    for i, d in changed.items():
-        same_shares = "shares" not in affected[i]
+    if share_rows is None:
+        share_rows = shares(stage_facts(corpus.inputs.facts, clean), clean)
+    rebuilt: dict[str, dict[str, DataFrame]] = {name: {} for name in METRICS}
+    unmoved: dict[str, list[str]] = {name: [] for name in METRICS}
+    for defect in defects:
+        changed = override(clean, defect)
+        affected = affected_metrics(changed, clean)
+        keeps_shares = "shares" not in affected
         built = build_metrics(
-            corpus.inputs, d, affected[i], share_rows=share_rows if same_shares else None
+            corpus.inputs, changed, affected, share_rows=share_rows if keeps_shares else None
         )
-        for name, df in built.items():
-            versions[name].append(df.withColumn("defect", F.lit(i)))
+        for name in METRICS:
+            if name in built:
+                rebuilt[name][defect.id] = built[name]
+            else:
+                unmoved[name].append(defect.id)
+    return Versions(rebuilt, unmoved)
+
+
+def stacked_versions(
+    corpus: Corpus, versions: Versions, clean: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Per metric, one frame with a ``defect`` column.
+
+    Each rebuilt version is written as one partition of its metric's table, all at the same
+    time; the comparisons and the invariants then read the tables.
+    """
+    spark = corpus.inputs.spark
+    paths = {name: new_path(spark, f"defects_{name}") for name in METRICS}
+    concurrently(spark, [
+        lambda df=df, path=f"{paths[name]}/defect={i}": df.write.parquet(path)
+        for name, frames in versions.rebuilt.items() for i, df in frames.items()
+    ])
+    stacked = {}
     for name in METRICS:
-        unmoved = [i for i in changed if name not in affected[i]]
-        if unmoved:
-            versions[name].append(_tagged(base[name], unmoved))
-    return {name: reduce(DataFrame.unionByName, frames) for name, frames in versions.items()}
+        parts = []
+        if versions.rebuilt[name]:
+            columns = next(iter(versions.rebuilt[name].values())).schema
+            schema = T.StructType([*columns, T.StructField("defect", T.StringType())])
+            parts.append(spark.read.schema(schema).parquet(paths[name]))
+        if versions.unmoved[name]:
+            parts.append(_tagged(clean[name], versions.unmoved[name]))
+        stacked[name] = reduce(DataFrame.unionByName, parts)
+    return stacked
 
 
 def find_defects(
     corpus: Corpus, defects: Sequence[Defect], metrics: Mapping[str, DataFrame] | None = None
-) -> DataFrame:
+) -> list[DataFrame]:
     """(defect, layer, metric): which layer sees which defect, and in which metric.
 
-    The stacked versions are small output tables; they are written once because the comparisons
-    and the invariants all read them.
+    One lazy frame per comparison, so that they can run side by side.
     """
     ids = [defect.id for defect in defects]
-    stacked = defect_metrics(corpus, defects, metrics)
-    sut = {name: written(df, f"defects_{name}") for name, df in stacked.items()}
-
-    def compare(reference: Mapping[str, DataFrame], layer: str) -> DataFrame:
-        tagged = {name: _tagged(df, ids) for name, df in reference.items()}
-        return reconcile_all(sut, tagged, BY).select("defect", F.lit(layer).alias("layer"), "metric")
-
-    found = [compare(corpus.reference, RECONCILIATION)]
+    clean = metrics if metrics is not None else written_all(
+        build_metrics(corpus.inputs, corpus.definition)
+    )
+    sut = stacked_versions(corpus, defect_metrics(corpus, defects, clean["shares"]), clean)
+    sides = [(RECONCILIATION, corpus.reference)]
     if corpus.expected is not None:
-        found.append(compare(corpus.expected, HAND))
-    broken = check_invariants(sut, corpus.inputs, corpus.definition, BY).filter(~F.col("passed"))
-    found.append(broken.select(
-        "defect", F.lit(INVARIANT).alias("layer"), F.lit(None).cast("string").alias("metric")
-    ))
-    return reduce(DataFrame.unionAll, found).distinct().withColumn("corpus", F.lit(corpus.name))
-
-
-FINDING = "defect string, layer string, metric string, corpus string"
-ERROR = "id string, error string"
+        sides.append((HAND, corpus.expected))
+    found = [
+        reconcile_metric(name, sut[name], _tagged(side[name], ids), by=BY)
+        .select("defect", F.lit(layer).alias("layer"), "metric").distinct()
+        for layer, side in sides for name in METRICS
+    ]
+    for verdicts in invariant_frames(sut, corpus.inputs, corpus.definition, BY):
+        found.append(verdicts.filter(~F.col("passed")).select(
+            "defect", F.lit(INVARIANT).alias("layer"), F.lit(None).cast("string").alias("metric")
+        ).distinct())
+    return found
 
 
 def _evaluate(
@@ -179,7 +207,9 @@ def _evaluate(
 ) -> tuple[list[tuple], list[tuple]]:
     """Findings and errors. If the joint run fails, each defect is run alone to find the culprit."""
     try:
-        return [tuple(r) for r in find_defects(corpus, defects, metrics).collect()], []
+        frames = find_defects(corpus, defects, metrics)
+        rows = concurrently(corpus.inputs.spark, [frame.collect for frame in frames])
+        return [(*row, corpus.name) for part in rows for row in part], []
     except PySparkException as failure:
         if len(defects) == 1:
             return [], [(defects[0].id, str(failure)[:200])]
@@ -193,7 +223,9 @@ def _evaluate(
 
 def defect_run(corpus: Corpus, defect: Defect) -> DataFrame:
     """One defect on one corpus: (defect, layer, metric, corpus)."""
-    return find_defects(corpus, [defect])
+    return reduce(DataFrame.unionAll, find_defects(corpus, [defect])).withColumn(
+        "corpus", F.lit(corpus.name)
+    )
 
 
 def defect_suite(
@@ -209,8 +241,9 @@ def defect_suite(
     """
     found: list[tuple] = []
     errors: list[tuple] = []
-    for corpus in corpora:
-        more, failed = _evaluate(corpus, defects, (metrics or {}).get(corpus.name))
+    for more, failed in concurrently(spark, [
+        lambda c=corpus: _evaluate(c, defects, (metrics or {}).get(c.name)) for corpus in corpora
+    ]):
         found += more
         errors += failed
     order = {corpus.name: i for i, corpus in enumerate(corpora)}

@@ -173,12 +173,12 @@ def _unclassified(
     ), by)]
 
 
-def check_invariants(
+def invariant_frames(
     metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
-) -> DataFrame:
-    """(invariant, passed, detail), one aggregate per metric; per value of ``by`` if given."""
+) -> list[DataFrame]:
+    """The verdicts as independent lazy frames, one or two per metric."""
     geo, shares, mix = metrics["geo_usage"], metrics["shares"], metrics["request_mix"]
-    return reduce(DataFrame.unionByName, [
+    return [
         *_shares(shares, by),
         *_geo_usage(geo, inputs, by),
         *_vs_rest(metrics["vs_rest"], shares, by),
@@ -186,4 +186,11 @@ def check_invariants(
         *_platform_gap(metrics["platform_gap"], d, by),
         *_function_exposure(metrics["function_exposure"], inputs, by),
         *_unclassified([geo, shares, mix], d, by),
-    ])
+    ]
+
+
+def check_invariants(
+    metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
+) -> DataFrame:
+    """(invariant, passed, detail), one aggregate per metric; per value of ``by`` if given."""
+    return reduce(DataFrame.unionByName, invariant_frames(metrics, inputs, d, by))
