@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from functools import reduce
 
@@ -283,31 +283,81 @@ def _as_checks(one_row: DataFrame) -> DataFrame:
     )
 
 
+def _passes(inputs: Inputs, d: Definition) -> list[tuple[tuple[str, ...], Callable]]:
+    """Which checks each pass answers, and the pass itself."""
+    facts, count = inputs.facts, F.count(F.lit(1))
+    return [
+        (
+            ("both_sources_loaded", "null_values", "negative_values", "negative_ci_lower_bounds",
+             "percentages_out_of_range", "period_is_one_week",
+             "countries_missing_from_sample_total", "unclassified_geography_share",
+             "small_count_cells"),
+            lambda: row_checks(facts, d),
+        ),
+        (("duplicate_keys",), lambda: _as_checks(duplicate_keys(facts))),
+        (("shares_sum_to_100",), lambda: _as_checks(shares_sum_to_100(facts))),
+        (
+            ("counts_agree_with_percentages",),
+            lambda: _as_checks(counts_agree_with_percentages(facts)),
+        ),
+        (
+            ("unknown_country_codes", "unknown_subregion_parents"),
+            lambda: place_checks(facts, inputs.countries, d),
+        ),
+        (
+            ("unexplained_rollup_gaps", "documented_rollup_gaps"),
+            lambda: gap_checks(facts, inputs.territories, d),
+        ),
+        (
+            ("countries_without_population",),
+            lambda: _as_checks(
+                countries_lacking_population(facts, inputs.countries, d)
+                .agg(count.alias("countries_without_population"))
+            ),
+        ),
+        (
+            ("finance_lens_clusters_exist",),
+            lambda: _as_checks(
+                unknown_lens_clusters(facts, inputs.lens, d)
+                .agg(count.alias("finance_lens_clusters_exist"))
+            ),
+        ),
+        (
+            ("job_exposure_contract",),
+            lambda: _as_checks(job_exposure_contract(inputs.occupations)),
+        ),
+        (
+            ("province_population_adds_up",),
+            lambda: _as_checks(
+                province_population_adds_up(inputs.provinces, inputs.focus_population)
+            ),
+        ),
+    ]
+
+
+def check_frames(
+    inputs: Inputs, d: Definition, names: Collection[str] | None = None
+) -> list[DataFrame]:
+    """The passes that answer the named checks, as independent lazy frames."""
+    wanted = set(CHECKS if names is None else names)
+    frames = []
+    for answers, build in _passes(inputs, d):
+        if wanted.issuperset(answers):
+            frames.append(build())
+        elif wanted & set(answers):
+            frames.append(build().filter(F.col("check").isin(*sorted(wanted))))
+    return frames
+
+
 def run_checks(
-    inputs: Inputs, d: Definition, layers: Sequence[str] | None = None
+    inputs: Inputs, d: Definition, layers: Collection[str] | None = None
 ) -> DataFrame:
     """(layer, check, severity, value, max_allowed, passed, description)"""
-    facts = inputs.facts
-    count = F.count(F.lit(1))
-    passes: list[tuple[set[str], DataFrame]] = [
-        ({"source", "coverage"}, row_checks(facts, d)),
-        ({"source"}, _as_checks(duplicate_keys(facts))),
-        ({"consistency"}, _as_checks(shares_sum_to_100(facts))),
-        ({"consistency"}, _as_checks(counts_agree_with_percentages(facts))),
-        ({"geography"}, place_checks(facts, inputs.countries, d)),
-        ({"geography"}, gap_checks(facts, inputs.territories, d)),
-        ({"coverage"}, _as_checks(
-            countries_lacking_population(facts, inputs.countries, d)
-            .agg(count.alias("countries_without_population")))),
-        ({"reference"}, _as_checks(
-            unknown_lens_clusters(facts, inputs.lens, d)
-            .agg(count.alias("finance_lens_clusters_exist")))),
-        ({"reference"}, _as_checks(job_exposure_contract(inputs.occupations))),
-        ({"reference"}, _as_checks(
-            province_population_adds_up(inputs.provinces, inputs.focus_population))),
-    ]
-    wanted = set(layers) if layers is not None else {c.layer for c in CHECKS.values()}
-    frames = [frame for its_layers, frame in passes if its_layers & wanted]
-    if not frames:
+    names = [c.name for c in CHECKS.values() if layers is None or c.layer in layers]
+    if not names:
         raise ValueError(f"no such layer: {layers}")
-    return reduce(DataFrame.unionByName, frames).filter(F.col("layer").isin(*sorted(wanted)))
+    return reduce(DataFrame.unionByName, check_frames(inputs, d, names))
+
+
+def run_check(inputs: Inputs, d: Definition, name: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, check_frames(inputs, d, [name]))

@@ -88,6 +88,19 @@ def missing_sources(spark: SparkSession, files: Mapping[str, str]) -> list[str]:
     return absent
 
 
+def absent_sources(
+    spark: SparkSession, configured: DataFrame, folder: str, key: str = "source"
+) -> DataFrame:
+    """Configured names without a file in ``folder/<name>/``, for long lists of sources.
+
+    Lists paths and sizes only; the file contents are pruned.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
+        folder
+    ).select(F.element_at(F.split("path", "/"), -2).alias(key)).distinct()
+    return configured.join(names, key, "left_anti")
+
+
 def require_sources(spark: SparkSession, files: Mapping[str, str]) -> None:
     absent = missing_sources(spark, files)
     if absent:
