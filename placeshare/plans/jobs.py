@@ -31,14 +31,18 @@ def concurrently(
         return [future.result() for future in futures]
 
 
-def written_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Write several result tables at once and read them back."""
-    if not frames:
-        return {}
-    spark = next(iter(frames.values())).sparkSession
-    tables = concurrently(
-        spark, [lambda n=name, df=df: written(df, n) for name, df in frames.items()]
-    )
+def written_all(
+    spark: SparkSession, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]
+) -> dict[str, DataFrame]:
+    """Write several result tables at once and read them back.
+
+    A frame may be given as a function that builds it; building a plan also takes driver time,
+    and is then done side by side too.
+    """
+    def write(name: str, frame: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+        return written(frame() if callable(frame) else frame, name)
+
+    tables = concurrently(spark, [lambda n=n, f=f: write(n, f) for n, f in frames.items()])
     return dict(zip(frames, tables))
 
 

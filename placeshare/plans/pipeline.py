@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from placeshare.quality.checks import run_checks
 from placeshare.quality.defects import DEFECTS, Corpus, Defect, defect_suite
 from placeshare.quality.investigate import rollup_report
 from placeshare.quality.invariants import check_invariants
-from placeshare.quality.reconcile import reconcile_all, reconcile_summary
+from placeshare.quality.reconcile import reconcile_metric, reconcile_summary
 from placeshare.report.figures import brief_facts, figure_verification, geo_names
 from placeshare.sources.facts import require_sources, source_row_counts
 from placeshare.sources.manifest import source_manifest
@@ -36,10 +37,17 @@ class Run:
 
 
 def golden_corpus(spark: SparkSession) -> Corpus:
-    inputs = golden.golden_inputs(spark)
+    """The hand-made tables with their answers, written like any other base tables."""
+    inputs = materialized(golden.golden_inputs(spark))
+    answers = {f"expected_{n}": df for n, df in golden.golden_expected(spark).items()}
+    models = {
+        f"second_{n}": df for n, df in sql_metrics(inputs, golden.DEFINITION).items()
+    }
+    tables = written_all(spark, answers | models)
     return Corpus(
-        "golden data", inputs, golden.DEFINITION, sql_metrics(inputs, golden.DEFINITION),
-        golden.golden_expected(spark),
+        "golden data", inputs, golden.DEFINITION,
+        {name: tables[f"second_{name}"] for name in METRICS},
+        {name: tables[f"expected_{name}"] for name in METRICS},
     )
 
 
@@ -58,7 +66,7 @@ def run_pipeline(
     """
     spark = inputs.spark
     base = materialized(inputs)
-    both = written_all({
+    both = written_all(spark, {
         **{f"first_{name}": df for name, df in build_metrics(base, d).items()},
         **{f"second_{name}": df for name, df in sql_metrics(base, d).items()},
     })
@@ -66,26 +74,38 @@ def run_pipeline(
     second = {name: both[f"second_{name}"] for name in METRICS}
 
     names = geo_names(base.countries, base.provinces)
-    issues = written_all({"issues": reconcile_all(first, second)})["issues"]
-    lazy = {
-        "checks": run_checks(base, d),
-        "reconciliation": reconcile_summary(first, second, issues),
-        "invariants": check_invariants(first, base, d),
-        "figures": figure_verification(
+
+    def figures() -> DataFrame:
+        return figure_verification(
             brief_facts(first, names, d), brief_facts(second, names, d)
-        ),
-        "rollup_gaps": rollup_report(base.facts, base.territories, d),
-        "source_rows": source_row_counts(base.facts),
+        )
+
+    def planted() -> dict[str, DataFrame]:
+        corpora = [Corpus("real data", base, d, second), golden_corpus(spark)]
+        return {"defects": defect_suite(spark, corpora, defects, {"real data": first})}
+
+    evidence_of = {
+        **{
+            f"issues_{name}": lambda n=name: reconcile_metric(n, first[n], second[n])
+            for name in METRICS
+        },
+        "checks": lambda: run_checks(base, d),
+        "invariants": lambda: check_invariants(first, base, d),
+        "figures": figures,
+        "rollup_gaps": lambda: rollup_report(base.facts, base.territories, d),
+        "source_rows": lambda: source_row_counts(base.facts),
         "manifest": manifest,
     }
-    calls = [lambda: written_all(lazy)]
+    calls = [lambda: written_all(spark, evidence_of)]
     if defects is not None:
-        corpora = [Corpus("real data", base, d, second), golden_corpus(spark)]
-        clean = {"real data": first}
-        calls.append(lambda: {"defects": defect_suite(spark, corpora, defects, clean)})
-    evidence: dict[str, DataFrame] = {"issues": issues}
+        calls.append(planted)
+    evidence: dict[str, DataFrame] = {}
     for part in concurrently(spark, calls):
         evidence |= part
+    evidence["issues"] = reduce(
+        DataFrame.unionByName, [evidence.pop(f"issues_{name}") for name in METRICS]
+    )
+    evidence["reconciliation"] = reconcile_summary(first, second, evidence["issues"])
 
     summary = run_gate(gate_parts(
         evidence["manifest"], evidence["reconciliation"], evidence["invariants"],

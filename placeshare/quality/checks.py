@@ -264,22 +264,21 @@ def province_population_adds_up(provinces: DataFrame, published: DataFrame) -> D
 
 def _as_checks(one_row: DataFrame) -> DataFrame:
     """A one-row frame with a column per check -> one row per check, judged."""
-    cells: list[Column] = []
+    cells = []
     for name in one_row.columns:
         check = CHECKS[name]
-        cells += [
-            F.lit(check.layer), F.lit(check.name), F.lit(check.severity),
-            F.col(name).cast("double"), F.lit(float(check.max_allowed)),
-            F.lit(check.description),
-        ]
-    rows = one_row.select(F.stack(F.lit(len(one_row.columns)), *cells).alias(
-        "layer", "check", "severity", "value", "max_allowed", "description"
-    ))
+        cells.append(
+            f"""'{check.layer}', '{name}', '{check.severity}', cast({name} as double), """
+            f"""cast('{check.max_allowed}' as double), "{check.description}\""""
+        )
+    rows = one_row.selectExpr(
+        f"stack({len(cells)}, {', '.join(cells)}) "
+        "as (layer, check, severity, value, max_allowed, description)"
+    )
     # nothing to divide or count is not a finding
-    value = F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0))
-    return rows.withColumn("value", value).select(
-        "layer", "check", "severity", "value", "max_allowed",
-        (F.abs("value") <= F.col("max_allowed")).alias("passed"), "description",
+    return rows.selectExpr(
+        "layer", "check", "severity", "coalesce(nanvl(value, 0D), 0D) as value", "max_allowed",
+        "abs(coalesce(nanvl(value, 0D), 0D)) <= max_allowed as passed", "description",
     )
 
 

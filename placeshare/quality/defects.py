@@ -6,7 +6,7 @@ so a corpus costs one comparison and one invariant pass, not one per defect.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,13 +17,11 @@ from pyspark.sql import types as T
 
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
-from placeshare.operators.shares import shares
-from placeshare.operators.staging import stage_facts
 from placeshare.plans.jobs import concurrently, written_all
 from placeshare.plans.registry import METRICS, affected_metrics, build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
 from placeshare.quality.investigate import issue_counts, largest_errors
-from placeshare.quality.invariants import check_invariants, invariant_frames
+from placeshare.quality.invariants import check_invariants, invariant_builders
 from placeshare.quality.reconcile import reconcile_all, reconcile_metric
 from placeshare.sources.storage import new_path
 
@@ -116,90 +114,75 @@ def _tagged(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return df.withColumn("defect", F.explode(F.array(*[F.lit(i) for i in ids])))
 
 
-@dataclass(frozen=True)
-class Versions:
-    """Every defect's version of the metrics: the rebuilt ones, and who keeps the clean frame."""
-
-    rebuilt: Mapping[str, Mapping[str, DataFrame]]  # metric -> defect -> frame
-    unmoved: Mapping[str, Sequence[str]]  # metric -> defects that do not touch it
-
-
-def defect_metrics(
-    corpus: Corpus, defects: Sequence[Defect], share_rows: DataFrame | None = None
-) -> Versions:
-    """Only metrics that read a changed knob are rebuilt."""
-    clean = corpus.definition
-    if share_rows is None:
-        share_rows = shares(stage_facts(corpus.inputs.facts, clean), clean)
-    rebuilt: dict[str, dict[str, DataFrame]] = {name: {} for name in METRICS}
-    unmoved: dict[str, list[str]] = {name: [] for name in METRICS}
-    for defect in defects:
-        changed = override(clean, defect)
-        affected = affected_metrics(changed, clean)
-        keeps_shares = "shares" not in affected
-        built = build_metrics(
-            corpus.inputs, changed, affected, share_rows=share_rows if keeps_shares else None
-        )
-        for name in METRICS:
-            if name in built:
-                rebuilt[name][defect.id] = built[name]
-            else:
-                unmoved[name].append(defect.id)
-    return Versions(rebuilt, unmoved)
-
-
 def stacked_versions(
-    corpus: Corpus, versions: Versions, clean: Mapping[str, DataFrame]
+    corpus: Corpus, defects: Sequence[Defect], clean: Mapping[str, DataFrame]
 ) -> dict[str, DataFrame]:
-    """Per metric, one frame with a ``defect`` column.
+    """Per metric, one frame with every defect's version of it, told apart by ``defect``.
 
-    Each rebuilt version is written as one partition of its metric's table, all at the same
-    time; the comparisons and the invariants then read the tables.
+    Only metrics that read a changed knob are rebuilt, each written as one partition of its
+    metric's table, all defects at the same time. For the others the clean frame stands in.
     """
-    spark = corpus.inputs.spark
+    spark, before = corpus.inputs.spark, corpus.definition
     paths = {name: new_path(spark, f"defects_{name}") for name in METRICS}
-    concurrently(spark, [
-        lambda df=df, path=f"{paths[name]}/defect={i}": df.write.parquet(path)
-        for name, frames in versions.rebuilt.items() for i, df in frames.items()
-    ])
+    changed = {defect.id: override(before, defect) for defect in defects}
+    affected = {i: affected_metrics(d, before) for i, d in changed.items()}
+
+    def rebuild(i: str) -> None:
+        keeps_shares = "shares" not in affected[i]
+        built = build_metrics(
+            corpus.inputs, changed[i], affected[i],
+            share_rows=clean["shares"] if keeps_shares else None,
+        )
+        for name, df in built.items():
+            df.write.parquet(f"{paths[name]}/defect={i}")
+
+    concurrently(spark, [lambda i=i: rebuild(i) for i in changed])
     stacked = {}
     for name in METRICS:
-        parts = []
-        if versions.rebuilt[name]:
-            columns = next(iter(versions.rebuilt[name].values())).schema
-            schema = T.StructType([*columns, T.StructField("defect", T.StringType())])
+        unmoved = [i for i in changed if name not in affected[i]]
+        parts = [_tagged(clean[name], unmoved)] if unmoved else []
+        if len(unmoved) < len(changed):
+            schema = T.StructType([*clean[name].schema, T.StructField("defect", T.StringType())])
             parts.append(spark.read.schema(schema).parquet(paths[name]))
-        if versions.unmoved[name]:
-            parts.append(_tagged(clean[name], versions.unmoved[name]))
         stacked[name] = reduce(DataFrame.unionByName, parts)
     return stacked
 
 
+def clean_metrics(corpus: Corpus) -> dict[str, DataFrame]:
+    return written_all(
+        corpus.inputs.spark, build_metrics(corpus.inputs, corpus.definition)
+    )
+
+
 def find_defects(
     corpus: Corpus, defects: Sequence[Defect], metrics: Mapping[str, DataFrame] | None = None
-) -> list[DataFrame]:
+) -> list[Callable[[], DataFrame]]:
     """(defect, layer, metric): which layer sees which defect, and in which metric.
 
-    One lazy frame per comparison, so that they can run side by side.
+    One comparison per function, so that they can be planned and run side by side.
     """
     ids = [defect.id for defect in defects]
-    clean = metrics if metrics is not None else written_all(
-        build_metrics(corpus.inputs, corpus.definition)
-    )
-    sut = stacked_versions(corpus, defect_metrics(corpus, defects, clean["shares"]), clean)
-    sides = [(RECONCILIATION, corpus.reference)]
-    if corpus.expected is not None:
-        sides.append((HAND, corpus.expected))
-    found = [
-        reconcile_metric(name, sut[name], _tagged(side[name], ids), by=BY)
-        .select("defect", F.lit(layer).alias("layer"), "metric").distinct()
-        for layer, side in sides for name in METRICS
-    ]
-    for verdicts in invariant_frames(sut, corpus.inputs, corpus.definition, BY):
-        found.append(verdicts.filter(~F.col("passed")).select(
+    clean = metrics if metrics is not None else clean_metrics(corpus)
+    sut = stacked_versions(corpus, defects, clean)
+
+    def compare(layer: str, reference: Mapping[str, DataFrame], name: str) -> DataFrame:
+        issues = reconcile_metric(name, sut[name], _tagged(reference[name], ids), by=BY)
+        return issues.select("defect", F.lit(layer).alias("layer"), "metric").distinct()
+
+    def broken(check: Callable[[], DataFrame]) -> DataFrame:
+        return check().filter(~F.col("passed")).select(
             "defect", F.lit(INVARIANT).alias("layer"), F.lit(None).cast("string").alias("metric")
-        ).distinct())
-    return found
+        ).distinct()
+
+    sides = {RECONCILIATION: corpus.reference, HAND: corpus.expected}
+    checks = invariant_builders(sut, corpus.inputs, corpus.definition, BY)
+    return [
+        *[
+            lambda layer=layer, side=side, name=name: compare(layer, side, name)
+            for layer, side in sides.items() if side is not None for name in METRICS
+        ],
+        *[lambda check=check: broken(check) for check in checks],
+    ]
 
 
 def _evaluate(
@@ -207,8 +190,10 @@ def _evaluate(
 ) -> tuple[list[tuple], list[tuple]]:
     """Findings and errors. If the joint run fails, each defect is run alone to find the culprit."""
     try:
-        frames = find_defects(corpus, defects, metrics)
-        rows = concurrently(corpus.inputs.spark, [frame.collect for frame in frames])
+        comparisons = find_defects(corpus, defects, metrics)
+        rows = concurrently(
+            corpus.inputs.spark, [lambda c=compare: c().collect() for compare in comparisons]
+        )
         return [(*row, corpus.name) for part in rows for row in part], []
     except PySparkException as failure:
         if len(defects) == 1:
@@ -223,9 +208,8 @@ def _evaluate(
 
 def defect_run(corpus: Corpus, defect: Defect) -> DataFrame:
     """One defect on one corpus: (defect, layer, metric, corpus)."""
-    return reduce(DataFrame.unionAll, find_defects(corpus, [defect])).withColumn(
-        "corpus", F.lit(corpus.name)
-    )
+    found = [compare() for compare in find_defects(corpus, [defect])]
+    return reduce(DataFrame.unionAll, found).withColumn("corpus", F.lit(corpus.name))
 
 
 def defect_suite(

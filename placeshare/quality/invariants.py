@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,16 +56,15 @@ def _bracketed(low: str, middle: str, high: str, slack: float = BRACKET_SLACK) -
 
 def _long(verdicts: DataFrame, by: Sequence[str]) -> DataFrame:
     names = [c for c in verdicts.columns if c not in by]
-    cells: list[Column] = []
-    for name in names:
-        detail = F.when(F.col(name), F.lit("")).otherwise(F.lit(INVARIANTS[name]))
-        cells += [F.lit(name), F.col(name), detail]
-    return verdicts.select(
-        *by, F.stack(F.lit(len(names)), *cells).alias("invariant", "passed", "detail")
+    cells = [
+        f"""'{name}', {name}, if({name}, '', "{INVARIANTS[name]}")""" for name in names
+    ]
+    return verdicts.selectExpr(
+        *by, f"stack({len(names)}, {', '.join(cells)}) as (invariant, passed, detail)"
     )
 
 
-def _geo_usage(geo: DataFrame, inputs: Inputs, by: Sequence[str]) -> list[DataFrame]:
+def _geo_usage(geo: DataFrame, by: Sequence[str]) -> DataFrame:
     levels = geo.groupBy(*by, "geo_level").agg(
         _every(
             (F.col("usage_index") > 0)
@@ -82,6 +81,10 @@ def _geo_usage(geo: DataFrame, inputs: Inputs, by: Sequence[str]) -> list[DataFr
         .alias("weighted_mean_index_is_one"),
         _every(F.col("known") <= 1 + SUM_SLACK).alias("known_usage_shares_within_one"),
     )
+    return _long(per_level, by)
+
+
+def _known_places(geo: DataFrame, inputs: Inputs, by: Sequence[str]) -> DataFrame:
     known = inputs.countries.select(F.col("iso2").alias("geo_id")).unionAll(
         inputs.provinces.select("geo_id")
     )
@@ -89,15 +92,15 @@ def _geo_usage(geo: DataFrame, inputs: Inputs, by: Sequence[str]) -> list[DataFr
     places_known = listed.groupBy(*by).agg(
         _every(F.col("is_known")).alias("indexed_places_are_known")
     )
-    return [_long(per_level, by), _long(places_known, by)]
+    return _long(places_known, by)
 
 
-def _shares(shares: DataFrame, by: Sequence[str]) -> list[DataFrame]:
-    return [_long(shares.groupBy(*by).agg(
+def _shares(shares: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _long(shares.groupBy(*by).agg(
         _every(_within("share")).alias("shares_within_unit_range"),
         _every(_bracketed("lo", "share", "hi")).alias("share_inside_its_interval"),
         _every(F.col("x") <= F.col("n")).alias("numerator_within_denominator"),
-    ), by)]
+    ), by)
 
 
 def rebuilt_parents(rest: DataFrame, shares: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -112,43 +115,43 @@ def rebuilt_parents(rest: DataFrame, shares: DataFrame, by: Sequence[str] = ())
     ).join(parents, [*by, "source", "metric", "parent_id"], "left")
 
 
-def _vs_rest(rest: DataFrame, shares: DataFrame, by: Sequence[str]) -> list[DataFrame]:
+def _vs_rest(rest: DataFrame, shares: DataFrame, by: Sequence[str]) -> DataFrame:
     same = stats.is_close(F.col("rebuilt"), F.col("parent_share"), 1e-9, 1e-12)
     whole = F.col("rebuilt").isNotNull() & F.col("parent_share").isNotNull() & same
-    return [_long(rebuilt_parents(rest, shares, by).groupBy(*by).agg(
+    return _long(rebuilt_parents(rest, shares, by).groupBy(*by).agg(
         _every(_within("share_rest")).alias("rest_share_within_unit_range"),
         _every(whole).alias("place_and_rest_rebuild_parent"),
         _every(_bracketed("diff_lo", "diff", "diff_hi"))
         .alias("difference_inside_its_interval"),
-    ), by)]
+    ), by)
 
 
-def _request_mix(mix: DataFrame, d: Definition, by: Sequence[str]) -> list[DataFrame]:
+def _request_mix(mix: DataFrame, d: Definition, by: Sequence[str]) -> DataFrame:
     place = mix.groupBy(*by, "geo_id").agg(
         _every((F.col("lq") > 0) & _bracketed("lq_lo", "lq", "lq_hi")).alias("inside"),
         _every(F.col("x") >= d.min_category).alias("enough"),
         F.sum("share").alias("total"),
     )
-    return [_long(place.groupBy(*by).agg(
+    return _long(place.groupBy(*by).agg(
         _every(F.col("inside")).alias("quotient_positive_and_inside_its_band"),
         _every(F.col("enough")).alias("category_meets_minimum"),
         _every(F.col("total") <= 1 + SUM_SLACK).alias("category_shares_within_one"),
-    ), by)]
+    ), by)
 
 
-def _platform_gap(gap: DataFrame, d: Definition, by: Sequence[str]) -> list[DataFrame]:
+def _platform_gap(gap: DataFrame, d: Definition, by: Sequence[str]) -> DataFrame:
     expected = F.col(f"{d.api_source}_share") - F.col(f"{d.chat_source}_share")
-    return [_long(gap.groupBy(*by).agg(
+    return _long(gap.groupBy(*by).agg(
         _every(
             stats.is_close(F.col("diff"), expected, 1e-5, 1e-8)
             & _bracketed("diff_lo", "diff", "diff_hi", 0.0)
         ).alias("gap_is_api_minus_chat"),
-    ), by)]
+    ), by)
 
 
 def _function_exposure(
     exposure: DataFrame, inputs: Inputs, by: Sequence[str]
-) -> list[DataFrame]:
+) -> DataFrame:
     ranges = exposure.groupBy(*by).agg(
         _every(
             _within("mean_exposure") & _within("share_with_exposure")
@@ -159,33 +162,34 @@ def _function_exposure(
     )
     size = inputs.occupations.agg(F.count(F.lit(1))).scalar()
     tagged = ranges.withColumn("occupations_all_counted", F.col("counted") == size)
-    return [_long(tagged.select(
+    return _long(tagged.select(
         *by, "exposure_in_range", "ranks_start_at_one", "occupations_all_counted"
-    ), by)]
+    ), by)
 
 
 def _unclassified(
     frames: Sequence[DataFrame], d: Definition, by: Sequence[str]
-) -> list[DataFrame]:
+) -> DataFrame:
     ids = reduce(DataFrame.unionAll, [df.select(*by, "geo_id") for df in frames])
-    return [_long(ids.groupBy(*by).agg(
+    return _long(ids.groupBy(*by).agg(
         _every(~places.is_unclassified(F.col("geo_id"), d)).alias("no_unclassified_place")
-    ), by)]
+    ), by)
 
 
-def invariant_frames(
+def invariant_builders(
     metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
-) -> list[DataFrame]:
-    """The verdicts as independent lazy frames, one or two per metric."""
+) -> list[Callable[[], DataFrame]]:
+    """The verdicts as independent frames, built on call: one or two per metric."""
     geo, shares, mix = metrics["geo_usage"], metrics["shares"], metrics["request_mix"]
     return [
-        *_shares(shares, by),
-        *_geo_usage(geo, inputs, by),
-        *_vs_rest(metrics["vs_rest"], shares, by),
-        *_request_mix(mix, d, by),
-        *_platform_gap(metrics["platform_gap"], d, by),
-        *_function_exposure(metrics["function_exposure"], inputs, by),
-        *_unclassified([geo, shares, mix], d, by),
+        lambda: _shares(shares, by),
+        lambda: _geo_usage(geo, by),
+        lambda: _known_places(geo, inputs, by),
+        lambda: _vs_rest(metrics["vs_rest"], shares, by),
+        lambda: _request_mix(mix, d, by),
+        lambda: _platform_gap(metrics["platform_gap"], d, by),
+        lambda: _function_exposure(metrics["function_exposure"], inputs, by),
+        lambda: _unclassified([geo, shares, mix], d, by),
     ]
 
 
@@ -193,4 +197,5 @@ def check_invariants(
     metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
 ) -> DataFrame:
     """(invariant, passed, detail), one aggregate per metric; per value of ``by`` if given."""
-    return reduce(DataFrame.unionByName, invariant_frames(metrics, inputs, d, by))
+    frames = [build() for build in invariant_builders(metrics, inputs, d, by)]
+    return reduce(DataFrame.unionByName, frames)

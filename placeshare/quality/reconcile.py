@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeshare.functions import places, stats
 from placeshare.plans.registry import METRICS
 
 # Kinds of issue.
@@ -30,26 +29,30 @@ def normalize_frame(df: DataFrame) -> DataFrame:
     """Numbers and flags as double, everything else as text; missing is null."""
     columns = []
     for field in df.schema:
-        column = F.col(field.name)
-        if isinstance(field.dataType, T.BooleanType):
-            column = column.cast("int").cast("double")
-        elif _is_number(field.dataType):
-            column = column.cast("double")
-        else:
-            column = column.cast("string")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
-
-
-def _issue(
-    column: Column, kind: Column, pair: tuple[Column, Column] | None = None, number: bool = True
-) -> Column:
-    no_value, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    values = pair if pair and number else (no_value, no_value)
-    texts = pair if pair and not number else (no_text, no_text)
-    return F.struct(
-        column.alias("column"), values[0].alias("sut_value"), values[1].alias("ref_value"),
-        texts[0].alias("sut_text"), texts[1].alias("ref_text"), kind.alias("kind"),
+        name = _quoted(field.name)
+        kind = "double" if _is_number(field.dataType) else "string"
+        value = f"cast({name} as int)" if isinstance(field.dataType, T.BooleanType) else name
+        columns.append(f"cast({value} as {kind}) as {name}")
+    return df.selectExpr(*columns)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _same_number(a: str, b: str, rtol: float, atol: float) -> str:
+    """Two missing numbers agree, one does not; else within the absolute plus relative tolerance."""
+    gone_a, gone_b = f"({a} is null or isnan({a}))", f"({b} is null or isnan({b}))"
+    near = f"{a} = {b} or abs({a} - {b}) <= {atol!r}D + {rtol!r}D * abs({b})"
+    return f"case when {gone_a} or {gone_b} then {gone_a} and {gone_b} else {near} end"
+
+
+def _issue(column: str, kind: str, numbers: str = "", texts: str = "") -> str:
+    sut, ref = numbers.split("|") if numbers else ("cast(null as double)",) * 2
+    sut_text, ref_text = texts.split("|") if texts else ("cast(null as string)",) * 2
+    return (
+        f"named_struct('column', {column}, 'sut_value', {sut}, 'ref_value', {ref}, "
+        f"'sut_text', {sut_text}, 'ref_text', {ref_text}, 'kind', {kind})"
     )
 
 
@@ -62,7 +65,7 @@ def reconcile_frames(
     atol: float = 1e-9,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Issues between two frames: one full outer join, then an explode of the differing cells.
+    """Issues between two frames: one full outer join, then the differing cells as rows.
 
     ``by`` names columns (such as a defect id) that belong to the key but not to its text.
     """
@@ -73,44 +76,49 @@ def reconcile_frames(
     values = [c for c in sut.columns if c not in joined_on]
     numeric = {f.name: _is_number(f.dataType) for f in sut.schema}
 
-    left = normalize_frame(sut).select(
-        *[F.col(k).alias(f"a_{k}") for k in joined_on],
-        *[F.col(c).alias(f"sut_{c}") for c in values], F.lit(True).alias("in_sut"),
-    )
-    right = normalize_frame(ref.select(*sut.columns)).select(
-        *[F.col(k).alias(f"b_{k}") for k in joined_on],
-        *[F.col(c).alias(f"ref_{c}") for c in values], F.lit(True).alias("in_ref"),
-    )
-    condition = reduce(
-        Column.__and__, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in joined_on]
+    def side(df: DataFrame, short: str) -> DataFrame:
+        prefixed = [f"{_quoted(c)} as {_quoted(f'{short}_{c}')}" for c in (*joined_on, *values)]
+        return normalize_frame(df.select(*sut.columns)).selectExpr(
+            *prefixed, f"true as in_{short}"
+        )
+
+    def cell(short: str, column: str) -> str:
+        return _quoted(f"{short}_{column}")
+
+    merged = side(sut, "a").join(
+        side(ref, "b"),
+        F.expr(" and ".join(f"{cell('a', k)} <=> {cell('b', k)}" for k in joined_on)),
+        "full",
     )
-    merged = left.join(right, condition, "full")
 
-    def key(k: str) -> Column:
-        return F.when(F.col("in_sut"), F.col(f"a_{k}")).otherwise(F.col(f"b_{k}"))
+    def key(k: str) -> str:
+        return f"if(in_a, {cell('a', k)}, {cell('b', k)})"
 
-    one_sided = F.col("in_sut").isNull() | F.col("in_ref").isNull()
-    nothing = F.lit(None).cast("string")
-    found = [
-        F.when(one_sided, _issue(
-            nothing, F.when(F.col("in_ref").isNull(), ONLY_LEFT).otherwise(ONLY_RIGHT)
-        ))
-    ]
+    one_sided = "(in_a is null or in_b is null)"
+    found = [f"if({one_sided}, " + _issue(
+        "cast(null as string)", f"if(in_b is null, '{ONLY_LEFT}', '{ONLY_RIGHT}')"
+    ) + ", null)"]
     for c in values:
-        a, b = F.col(f"sut_{c}"), F.col(f"ref_{c}")
-        same = stats.is_close(a, b, rtol, atol) if numeric[c] else a.eqNullSafe(b)
-        found.append(F.when(
-            ~one_sided & ~same,
-            _issue(F.lit(c), F.lit(MISMATCH), (a, b), numeric[c]),
-        ))
-    key_text = F.concat_ws("|", *[places.key_text(k, key(k), numeric[k]) for k in keys])
-    return (
-        merged.select(
-            *[key(k).alias(k) for k in by],
-            F.lit(name).alias("metric"), key_text.alias("key"),
-            F.explode(F.array_compact(F.array(*found))).alias("issue"),
+        a, b = cell("a", c), cell("b", c)
+        pair = f"{a}|{b}"
+        same = _same_number(a, b, rtol, atol) if numeric[c] else f"{a} <=> {b}"
+        issue = _issue(
+            f"'{c}'", f"'{MISMATCH}'", pair if numeric[c] else "", "" if numeric[c] else pair
         )
-        .select(*by, "metric", "key", "issue.*")
+        found.append(f"if(not {one_sided} and not ({same}), {issue}, null)")
+
+    def shown(k: str) -> str:
+        text = f"cast({key(k)} as string)"
+        if numeric[k]:
+            whole = f"floor({key(k)})"
+            text = f"if({key(k)} = {whole}, cast({whole} as string), {text})"
+        return f"concat('{k}=', coalesce({text}, 'null'))"
+
+    return merged.selectExpr(
+        *[f"{key(k)} as {_quoted(k)}" for k in by],
+        f"'{name}' as metric",
+        f"concat_ws('|', {', '.join(shown(k) for k in keys)}) as key",
+        f"inline(array_compact(array({', '.join(found)})))",
     )
 
 

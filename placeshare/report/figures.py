@@ -39,12 +39,12 @@ def _pick(condition: Column, column: Column) -> Column:
 
 def _long(one_row: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """A one-row frame -> (label, value, text), one row per figure."""
-    cells: list[Column] = []
+    cells = []
     for label, kind in kinds.items():
-        number = F.col(label).cast("double") if kind == NUMBER else F.lit(None).cast("double")
-        text = F.col(label).cast("string") if kind == TEXT else F.lit(None).cast("string")
-        cells += [F.lit(label), number, text]
-    return one_row.select(F.stack(F.lit(len(kinds)), *cells).alias("label", "value", "text"))
+        number = f"cast({label} as double)" if kind == NUMBER else "cast(null as double)"
+        text = f"cast({label} as string)" if kind == TEXT else "cast(null as string)"
+        cells.append(f"'{label}', {number}, {text}")
+    return one_row.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (label, value, text)")
 
 
 def _figures(df: DataFrame, columns: Mapping[str, Column], texts: set[str]) -> DataFrame:
