@@ -48,16 +48,11 @@ def header_contract(t):
         if source == "api":
             rows = rows.withColumnRenamed("variable", "metric")
         rows.coalesce(1).write.csv(f"{folder}/{source}", header=True, escape='"')
-    refused = fact_files.header_violations(t.spark, f"{folder}/api").select(
-        F.lit("api").alias("source")
-    ).unionByName(
-        fact_files.header_violations(t.spark, f"{folder}/chat").select(
-            F.lit("chat").alias("source")
-        )
-    ).distinct().withColumn("is_accepted", F.lit(False))
-    return t.facts.select("source").distinct().join(refused, "source", "left").select(
-        "source", F.coalesce("is_accepted", F.lit(True)).alias("is_accepted")
-    )
+    accepted = F.lit(None).cast("boolean")
+    for source in ("chat", "api"):
+        clean = not fact_files.header_violations(t.spark, f"{folder}/{source}")
+        accepted = F.when(F.col("source") == source, clean).otherwise(accepted)
+    return t.facts.select("source").distinct().withColumn("is_accepted", accepted)
 
 
 query("tag_source", """

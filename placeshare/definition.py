@@ -98,6 +98,10 @@ class Definition:
     # how many ways the few, hot parent rows are copied in a parent lookup
     salts: int = 8
 
+    def __post_init__(self):
+        if self.salts < 1:
+            raise ValueError("salts must be at least 1")
+
     def replace(self, **changes) -> "Definition":
         known = {f.name for f in dataclasses.fields(self)}
         unknown = sorted(set(changes) - known)

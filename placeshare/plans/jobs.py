@@ -1,36 +1,15 @@
-"""Submitting independent Spark jobs side by side.
-
-After the rollup, most jobs are many and small: their time goes into planning, not data. Sent from
-a few driver threads, they plan and run together and share the executors.
-"""
+"""Writing many result tables side by side."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from typing import TypeVar
+from collections.abc import Callable, Mapping
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from placeshare.inputs import SCHEMAS, Inputs
+from placeshare.sources.concurrent import concurrently
 from placeshare.sources.storage import written
 
-Result = TypeVar("Result")
-THREADS = 8
-
-
-def concurrently(
-    spark: SparkSession, calls: Sequence[Callable[[], Result]], threads: int = THREADS
-) -> list[Result]:
-    """Results in the order of the calls; the first failure is raised."""
-    if len(calls) < 2:
-        return [call() for call in calls]
-    with ThreadPoolExecutor(min(threads, len(calls))) as pool:
-        futures = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
-        return [future.result() for future in futures]
-
-
 def written_all(
     spark: SparkSession, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]
 ) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
 from placeshare.plans.gate import gate_parts, run_gate
-from placeshare.plans.jobs import concurrently, materialized, written_all
+from placeshare.plans.jobs import materialized, written_all
 from placeshare.plans.registry import METRICS, build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
 from placeshare.quality import golden
@@ -22,6 +22,7 @@ from placeshare.quality.investigate import rollup_report
 from placeshare.quality.invariants import check_invariants
 from placeshare.quality.reconcile import reconcile_metric, reconcile_summary
 from placeshare.report.figures import brief_facts, figure_verification, geo_names
+from placeshare.sources.concurrent import concurrently
 from placeshare.sources.facts import require_sources, source_row_counts
 from placeshare.sources.manifest import source_manifest
 from placeshare.sources.sinks import write_gold, write_qa, write_summary

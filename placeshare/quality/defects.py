@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
-from placeshare.plans.jobs import concurrently, written_all
+from placeshare.plans.jobs import written_all
 from placeshare.plans.registry import METRICS, affected_metrics, build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
 from placeshare.quality.investigate import issue_counts, largest_errors
 from placeshare.quality.invariants import check_invariants, invariant_builders
 from placeshare.quality.reconcile import reconcile_all, reconcile_metric
+from placeshare.sources.concurrent import concurrently
 from placeshare.sources.storage import new_path
 
 BY = ("defect",)

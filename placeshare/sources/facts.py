@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import FACT_SCHEMA, typed
+from placeshare.sources.concurrent import concurrently
 from placeshare.sources.storage import written
 
 FILE_SCHEMA = T.StructType([FACT_SCHEMA[name] for name in FACT_COLUMNS])
@@ -24,35 +25,59 @@ class MissingSourcesError(FileNotFoundError):
     """Configured fact files that do not exist."""
 
 
-def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """The first line of every file: (file, columns).
-
-    Each task reads one row of one file; the scan is never split and stops at the first line.
+def _data_files(spark: SparkSession, path: str) -> list:
+    """(file system, path) of the non-empty data files a path, folder or pattern stands for."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    files = pattern.getFileSystem(conf)
+    found = []
+    for status in files.globStatus(pattern) or []:
+        inside = files.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for item in inside:
+            hidden = item.getPath().getName().startswith(("_", "."))
+            if item.isFile() and item.getLen() > 0 and not hidden:
+                found.append((files, item.getPath()))
+    return found
+
+
+def _first_line(spark: SparkSession, files, path) -> str:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stream = files.open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
+        return reader.readLine() or ""
+    finally:
+        stream.close()
+
+
+def header_violations(
+    spark: SparkSession, paths: str | Sequence[str]
+) -> list[tuple[str, list[str]]]:
+    """Files whose columns are not the agreed ones, with the columns found.
+
+    Opens every file and reads one buffer of it, so the cost is per file and not per byte: no
+    job scans the data for this.
     """
-    first_of_file = spark.read.option("wholetext", False).text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("position"),
-        "value",
-    ).filter(F.col("start") == 0)
-    return first_of_file.groupBy("file").agg(
-        F.min_by("value", "position").alias("header")
-    ).select("file", F.split("header", ",").alias("columns"))
-
-
-def header_violations(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    expected = F.array(*[F.lit(name) for name in FACT_COLUMNS])
-    found = F.transform("columns", lambda c: F.trim(F.regexp_replace(c, '"|\\r|\\ufeff', "")))
-    return header_lines(spark, paths).withColumn("columns", found).filter(
-        F.col("columns") != expected
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    opened = [f for path in listed for f in _data_files(spark, path)]
+    lines = concurrently(
+        spark, [lambda f=files, p=path: _first_line(spark, f, p) for files, path in opened], 16
     )
+    bad = []
+    for (_, path), line in zip(opened, lines):
+        columns = [c.strip().strip('"') for c in line.lstrip("\ufeff").rstrip("\r").split(",")]
+        if columns != list(FACT_COLUMNS):
+            bad.append((path.toString(), columns))
+    return bad
 
 
 def check_header(spark: SparkSession, paths: str | Sequence[str]) -> None:
-    bad = header_violations(spark, paths).limit(5).collect()
+    bad = header_violations(spark, paths)
     if bad:
-        listed = "; ".join(f"{row.file}: {list(row.columns)}" for row in bad)
-        raise SchemaError(f"expected columns {list(FACT_COLUMNS)}, found {listed}")
+        shown = "; ".join(f"{file}: {columns}" for file, columns in bad[:5])
+        raise SchemaError(f"expected columns {list(FACT_COLUMNS)}, found {shown}")
 
 
 def tag_source(df: DataFrame, source: str) -> DataFrame:
