@@ -13,7 +13,7 @@ from placeshare.catalog.counterpart import counterpart
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
 from placeshare.operators.staging import stage_facts
-from placeshare.plans.jobs import materialized
+from placeshare.plans.jobs import materialized, written_all
 from placeshare.plans.registry import build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
 from placeshare.report.figures import geo_names
@@ -66,6 +66,18 @@ class Tables:
     def second(self) -> dict[str, DataFrame]:
         return sql_metrics(self.inputs, self.d)
 
+    @cached_property
+    def results(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """Both formulations' results as written tables, for everything that compares them."""
+        tables = written_all(self.spark, {
+            **{f"first_{name}": df for name, df in self.metrics.items()},
+            **{f"second_{name}": df for name, df in self.second.items()},
+        })
+        return (
+            {name: tables[f"first_{name}"] for name in self.metrics},
+            {name: tables[f"second_{name}"] for name in self.metrics},
+        )
+
     @property
     def names(self) -> DataFrame:
         return geo_names(self.inputs.countries, self.inputs.provinces)

@@ -52,7 +52,7 @@ query("reconcile_metric", """
 query("reconcile_all", """
     select metric, geo_id as key, '' as "column", 0e0 as sut_value, 0e0 as ref_value,
            '' as sut_text, '' as ref_text, '' as kind from m_shares where false
-""")(lambda t: reconcile_all(t.metrics, t.second))
+""")(lambda t: reconcile_all(*t.results))
 
 SIZES = " union all ".join(
     f"""select '{name}' as metric, count(*) as rows_sql, count(*) as rows_reference,
@@ -63,7 +63,7 @@ SIZES = " union all ".join(
         ("platform_gap", 7), ("function_exposure", 8),
     )
 )
-query("reconcile_summary", SIZES)(lambda t: reconcile_summary(t.metrics, t.second))
+query("reconcile_summary", SIZES)(lambda t: reconcile_summary(*t.results))
 
 UNCLASSIFIED = "geo_id in ('NONE', 'not_classified') or ends_with(geo_id, '-not_classified')"
 PROPERTIES = {
@@ -116,7 +116,7 @@ def _property_sql(name: str) -> str:
 
 
 VERDICTS = " union all ".join(_property_sql(name) for name in PROPERTIES)
-query("check_invariants", VERDICTS)(lambda t: check_invariants(t.metrics, t.inputs, t.d))
+query("check_invariants", VERDICTS)(lambda t: check_invariants(t.results[0], t.inputs, t.d))
 
 query("rollup_report", "select * from gaps where gap <> 0",
       "country_count subregion_sum gap territory_sum unexplained")(
@@ -125,7 +125,7 @@ query("rollup_report", "select * from gaps where gap <> 0",
 
 
 def _corpus(t):
-    return defects.Corpus("order data", t.inputs, t.d, t.second)
+    return defects.Corpus("order data", t.inputs, t.d, t.results[1])
 
 
 query("defect_run")(
@@ -133,7 +133,9 @@ query("defect_run")(
 )
 
 query("defect_suite")(
-    lambda t: defects.defect_suite(t.spark, [_corpus(t), golden_corpus(t.spark)])
+    lambda t: defects.defect_suite(
+        t.spark, [_corpus(t), golden_corpus(t.spark)], metrics={"order data": t.results[0]}
+    )
 )
 
 
@@ -156,7 +158,7 @@ query("defect_report", """
 
 def verification(t):
     return figure_verification(
-        brief_facts(t.metrics, t.names, t.d), brief_facts(t.second, t.names, t.d)
+        *[brief_facts(side, t.names, t.d) for side in t.results]
     )
 
 

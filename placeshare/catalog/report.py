@@ -210,6 +210,6 @@ query("view_group_occupations", """
 def view_defects(t):
     from placeshare.quality import defects
 
-    corpus = defects.Corpus("order data", t.inputs, t.d, t.second)
+    corpus = defects.Corpus("order data", t.inputs, t.d, t.results[1])
     some = [d for d in defects.DEFECTS if d.id in ("M06", "M21", "M24")]
     return views.view_defects(defects.defect_suite(t.spark, [corpus], some))

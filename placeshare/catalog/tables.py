@@ -231,11 +231,11 @@ def gate(t):
         t.spark, {"lineitem": f"{t.sf_dir}/lineitem.parquet"}, {"lineitem": "not published"}
     )
     figures = figure_verification(
-        brief_facts(t.metrics, t.names, t.d), brief_facts(t.second, t.names, t.d)
+        *[brief_facts(side, t.names, t.d) for side in t.results]
     )
     return run_gate(gate_parts(
-        manifest_of, reconcile_summary(t.metrics, t.second),
-        check_invariants(t.metrics, t.inputs, t.d), run_checks(t.inputs, t.d), figures,
+        manifest_of, reconcile_summary(*t.results),
+        check_invariants(t.results[0], t.inputs, t.d), run_checks(t.inputs, t.d), figures,
     ))
 
 
@@ -248,7 +248,7 @@ def gate(t):
 """)
 def write_summary(t):
     out = new_path(t.spark, "artifacts")
-    summary = reconcile_summary(t.metrics, t.second).agg(
+    summary = reconcile_summary(*t.results).agg(
         F.sum("cells_compared").alias("cells_compared"),
         (F.sum("mismatches") == 0).alias("reconciled"),
     )

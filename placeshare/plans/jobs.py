@@ -10,6 +10,7 @@ from placeshare.inputs import SCHEMAS, Inputs
 from placeshare.sources.concurrent import concurrently
 from placeshare.sources.storage import written
 
+
 def written_all(
     spark: SparkSession, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]
 ) -> dict[str, DataFrame]:

@@ -66,7 +66,10 @@ def run_pipeline(
     tables; only defect findings reach the driver.
     """
     spark = inputs.spark
-    base = materialized(inputs)
+    steps = [lambda: materialized(inputs)]
+    if defects is not None:
+        steps.append(lambda: golden_corpus(spark))
+    base, *known = concurrently(spark, steps)
     both = written_all(spark, {
         **{f"first_{name}": df for name, df in build_metrics(base, d).items()},
         **{f"second_{name}": df for name, df in sql_metrics(base, d).items()},
@@ -82,7 +85,7 @@ def run_pipeline(
         )
 
     def planted() -> dict[str, DataFrame]:
-        corpora = [Corpus("real data", base, d, second), golden_corpus(spark)]
+        corpora = [Corpus("real data", base, d, second), *known]
         return {"defects": defect_suite(spark, corpora, defects, {"real data": first})}
 
     evidence_of = {
@@ -113,9 +116,11 @@ def run_pipeline(
         evidence["checks"], evidence["figures"], evidence.get("defects"),
     ))
     if out is not None:
-        write_gold({**first, "geo_names": names}, out, form)
-        write_qa(evidence, out, form)
-        write_summary(summary, out)
+        concurrently(spark, [
+            lambda: write_gold({**first, "geo_names": names}, out, form),
+            lambda: write_qa(evidence, out, form),
+            lambda: write_summary(summary, out),
+        ])
     return Run(first, evidence, summary)
 
 

@@ -143,23 +143,24 @@ def reconcile_summary(
 ) -> DataFrame:
     """Per metric: rows on each side, cells compared, mismatches, status."""
     issues = reconcile_all(sut, ref) if issues is None else issues
-    sizes = []
+    rows, widths = [], {}
     for name, metric in METRICS.items():
-        width = len(sut[name].columns) - len(metric.keys)
-        both = sut[name].select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(
-            ref[name].select(F.lit(0).alias("a"), F.lit(1).alias("b"))
-        )
-        counted = both.agg(
-            F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("rows_sql"),
-            F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("rows_reference"),
-        )
-        sizes.append(counted.select(
-            F.lit(name).alias("metric"), "rows_sql", "rows_reference",
-            (F.col("rows_sql") * width).alias("cells_compared"),
-        ))
+        widths[name] = len(sut[name].columns) - len(metric.keys)
+        rows.append(sut[name].selectExpr(f"'{name}' as metric", "1 as a", "0 as b"))
+        rows.append(ref[name].selectExpr(f"'{name}' as metric", "0 as a", "1 as b"))
+    counted = reduce(DataFrame.unionAll, rows).groupBy("metric").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
+    names = sut[next(iter(METRICS))].sparkSession.range(1).selectExpr("inline(array({}))".format(
+        ", ".join(f"struct('{n}' as metric, {w} as width)" for n, w in widths.items())
+    ))
+    sizes = names.join(counted, "metric", "left").selectExpr(
+        "metric", "coalesce(a, 0L) as rows_sql", "coalesce(b, 0L) as rows_reference",
+        "coalesce(a, 0L) * width as cells_compared",
+    )
     bad = issues.groupBy("metric").agg(F.count(F.lit(1)).alias("mismatches"))
     return (
-        reduce(DataFrame.unionByName, sizes).join(bad, "metric", "left")
+        sizes.join(bad, "metric", "left")
         .withColumn("mismatches", F.coalesce("mismatches", F.lit(0)).cast("long"))
         .withColumn("status", F.when(F.col("mismatches") == 0, "match").otherwise("MISMATCH"))
     )

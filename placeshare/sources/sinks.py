@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from placeshare.sources.concurrent import concurrently
+
 METRIC_DIR = "gold"
 EVIDENCE_DIR = "qa"
 
@@ -21,14 +23,21 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
         writer.format(form).save(path)
 
 
+def _write_tables(tables: Mapping[str, DataFrame], folder: str, form: str) -> None:
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        concurrently(spark, [
+            lambda n=name, df=df: write_table(df, f"{folder}/{n}", form)
+            for name, df in tables.items()
+        ])
+
+
 def write_gold(metrics: Mapping[str, DataFrame], out: str, form: str = "parquet") -> None:
-    for name, df in metrics.items():
-        write_table(df, f"{out}/{METRIC_DIR}/{name}", form)
+    _write_tables(metrics, f"{out}/{METRIC_DIR}", form)
 
 
 def write_qa(tables: Mapping[str, DataFrame], out: str, form: str = "parquet") -> None:
-    for name, df in tables.items():
-        write_table(df, f"{out}/{EVIDENCE_DIR}/{name}", form)
+    _write_tables(tables, f"{out}/{EVIDENCE_DIR}", form)
 
 
 def write_summary(summary: DataFrame, out: str) -> None:
