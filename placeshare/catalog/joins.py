@@ -67,7 +67,7 @@ query("j_child_parent", """
 )
 
 query("j_req_total", "select source, geo_id, cluster, x, n from req_n", "x n")(
-    lambda t: request_mix.with_totals(_requests(t)).select(
+    lambda t: request_mix.with_totals(_requests(t), t.d).select(
         "source", "geo_id", "cluster", "x", "n"
     )
 )
@@ -135,7 +135,7 @@ query("j_using_5", """
                  ('use_case', 'collaboration', 'task_success', 'request'))
     select * from c join t using (source, geo_id, facet, level)
     join p using (source, geo_id, facet, level, cluster_name)
-""", "n total pct")(lambda t: checks.count_pct_pairs(t.facts))
+""", "n total pct")(lambda t: checks.count_pct_pairs(t.facts, t.d))
 
 query("j_rollup", "select parent, subregion_sum, country_count, territory_sum from gaps",
       "subregion_sum country_count territory_sum")(

@@ -128,7 +128,7 @@ query("fact_requests", f"select * from ({BRIEF}) where label like '%\\_request%'
     lambda t: figures.request_figures(t.metrics["request_mix"], t.d)
 )
 
-query("fact_gap", f"select * from ({BRIEF}) where label like 'global%'", "value")(
+query("gap", f"select * from ({BRIEF}) where label like 'global%'", "value")(
     lambda t: figures.gap_figures(t.metrics["platform_gap"], t.d)
 )
 
@@ -137,6 +137,18 @@ query("fact_exposure", f"select * from ({BRIEF}) where label like 'focus_group%'
     lambda t: figures.exposure_figures(t.metrics["function_exposure"], t.d)
 )
 
+query("top_country", f"select * from ({BRIEF}) where label like 'top_country%'", "value")(
+    lambda t: figures.usage_figures(t.metrics["geo_usage"], t.names, t.d).filter(
+        F.col("label").startswith("top_country")
+    )
+)
+
+query("lens_count", f"select * from ({BRIEF}) where label like 'lens%'", "value")(
+    lambda t: figures.request_figures(t.metrics["request_mix"], t.d).filter(
+        F.col("label").startswith("lens")
+    )
+)
+
 query("direction_flags", """
     select case when round(100e0 * max(diff) filter (where metric = 'work_share'), 1) < 0
                 then 'lower' else 'higher' end as work_direction,

@@ -81,7 +81,8 @@ query("f_scope_or_semi", """
         or (geo_level = 'subregion' and geo_id in (select geo_id from dim_province)))
 """, "x n")(
     lambda t: request_mix.in_scope(
-        request_mix.with_totals(request_mix.request_rows(t.staged, t.d)), t.inputs.provinces, t.d
+        request_mix.with_totals(request_mix.request_rows(t.staged, t.d), t.d),
+        t.inputs.provinces, t.d,
     ).select("source", "geo_id", "cluster", "x", "n", "parent_id")
 )
 

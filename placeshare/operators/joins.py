@@ -17,8 +17,9 @@ def join_parent(
     spread_on: Sequence[str],
     salts: int,
     residual: Column | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner lookup of many children in few parents, where one parent may be very hot.
+    """Lookup of many children in few parents, where one parent may be very hot.
 
     Every place hangs off a handful of parents, and the root alone can own most of the rows, so
     a plain shuffle on the parent key would send them to one task. The parents are copied once
@@ -33,7 +34,7 @@ def join_parent(
     salted_parents = parents.withColumn(
         SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    joined = salted_children.join(salted_parents, [*keys, SALT]).drop(SALT)
+    joined = salted_children.join(salted_parents, [*keys, SALT], how).drop(SALT)
     return joined if residual is None else joined.filter(residual)
 
 

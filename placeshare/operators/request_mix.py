@@ -28,9 +28,11 @@ def request_totals(requests: DataFrame) -> DataFrame:
     return requests.groupBy("source", "geo_id").agg(F.sum("x").alias("n"))
 
 
-def with_totals(requests: DataFrame) -> DataFrame:
+def with_totals(requests: DataFrame, d: Definition) -> DataFrame:
     """Attach each place's total once; child and parent rows both need it."""
-    return requests.join(request_totals(requests), ["source", "geo_id"])
+    return join_parent(
+        requests, request_totals(requests), ["source", "geo_id"], ["cluster"], d.salts
+    )
 
 
 def in_scope(counted: DataFrame, provinces: DataFrame, d: Definition) -> DataFrame:
@@ -53,7 +55,7 @@ def in_scope(counted: DataFrame, provinces: DataFrame, d: Definition) -> DataFra
 def paired_with_parent(
     staged: DataFrame, provinces: DataFrame, d: Definition
 ) -> DataFrame:
-    counted = with_totals(request_rows(staged, d))
+    counted = with_totals(request_rows(staged, d), d)
     # a parent is global or a country, and only chat rows have children
     parents = counted.filter(
         (F.col("source") == d.chat_source) & F.col("geo_level").isin("global", "country")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from placeshare.definition import GLOBAL_ID
 from placeshare.functions.places import place_prefix
+from placeshare.operators.joins import join_parent
 from placeshare.sources.storage import written
 
 
@@ -27,6 +28,7 @@ class RollupSpec:
     platforms: Mapping[str, str]  # source -> platform_and_product
     date_start: str
     date_end: str
+    salts: int = 8  # copies of a place's total, so that its labels spread over tasks
 
 
 def leaf_counts(records: DataFrame, spec: RollupSpec) -> DataFrame:
@@ -95,9 +97,10 @@ def rollup_facts(records: DataFrame, spec: RollupSpec) -> DataFrame:
     for facet, its_level in spec.facets.items():
         level = F.when(F.col("facet") == facet, its_level).otherwise(level)
     labels = _count_and_pct(
-        cells.filter(F.col("cluster_name").isNotNull())
-        .join(totals, ["source", "geo_id", "facet"])
-        .withColumn("level", level),
+        join_parent(
+            cells.filter(F.col("cluster_name").isNotNull()), totals,
+            ["source", "geo_id", "facet"], ["cluster_name"], spec.salts,
+        ).withColumn("level", level),
         F.concat("facet", F.lit("_count")),
         F.concat("facet", F.lit("_pct")),
     )
@@ -117,9 +120,10 @@ def rollup_facts(records: DataFrame, spec: RollupSpec) -> DataFrame:
         "source", F.col("geo_id").alias("parent_id"), F.col("n").alias("total")
     )
     usage_rows = _count_and_pct(
-        usage.filter(F.col("geography") != "global")
-        .withColumn("parent_id", parent)
-        .join(parents, ["source", "parent_id"], "left")
+        join_parent(
+            usage.filter(F.col("geography") != "global").withColumn("parent_id", parent),
+            parents, ["source", "parent_id"], ["geo_id"], spec.salts, how="left",
+        )
         .withColumn("facet", F.col("geography"))
         .withColumn("level", F.lit(0))
         .withColumn("cluster_name", F.lit(None).cast("string")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from placeshare.definition import CHECKED_FACETS, GLOBAL_ID, Definition
 from placeshare.functions import places, stats
 from placeshare.inputs import Inputs
+from placeshare.operators.joins import join_parent
 from placeshare.quality.investigate import rollup_gaps, usage_counts
 
 INFINITE = float("inf")
@@ -172,7 +173,7 @@ def shares_sum_to_100(facts: DataFrame) -> DataFrame:
     )
 
 
-def count_pct_pairs(facts: DataFrame) -> DataFrame:
+def count_pct_pairs(facts: DataFrame, d: Definition) -> DataFrame:
     """count, total of its group and published percentage, for every label that has all three."""
     counts = _checked(facts, "count", places.is_count_of_facet).select(
         *GROUP, "cluster_name", F.col("value").alias("n")
@@ -181,12 +182,13 @@ def count_pct_pairs(facts: DataFrame) -> DataFrame:
     pcts = _checked(facts, "pct", places.is_pct_of_facet).select(
         *GROUP, "cluster_name", F.col("value").alias("pct")
     )
-    return counts.join(pcts, [*GROUP, "cluster_name"]).join(totals, list(GROUP))
+    pairs = counts.join(pcts, [*GROUP, "cluster_name"])
+    return join_parent(pairs, totals, GROUP, ["cluster_name"], d.salts)
 
 
-def counts_agree_with_percentages(facts: DataFrame) -> DataFrame:
+def counts_agree_with_percentages(facts: DataFrame, d: Definition) -> DataFrame:
     expected = stats.ratio(F.lit(100.0) * F.col("n"), F.col("total"))
-    return count_pct_pairs(facts).agg(
+    return count_pct_pairs(facts, d).agg(
         _count_if(F.abs(expected - F.col("pct")) > 0.0001)
         .alias("counts_agree_with_percentages")
     )
@@ -297,7 +299,7 @@ def _passes(inputs: Inputs, d: Definition) -> list[tuple[tuple[str, ...], Callab
         (("shares_sum_to_100",), lambda: _as_checks(shares_sum_to_100(facts))),
         (
             ("counts_agree_with_percentages",),
-            lambda: _as_checks(counts_agree_with_percentages(facts)),
+            lambda: _as_checks(counts_agree_with_percentages(facts, d)),
         ),
         (
             ("unknown_country_codes", "unknown_subregion_parents"),
