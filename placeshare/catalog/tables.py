@@ -257,7 +257,7 @@ def write_summary(t):
 
 
 query("rollup_facts", ALL_FACTS, "value")(
-    lambda t: rollup_facts(orders.records(t.spark, t.sf_dir), orders.SPEC)
+    lambda t: rollup_facts(orders.records(orders.OrderTables(t.spark, t.sf_dir)), orders.SPEC)
 )
 
 assert set(SQL_TABLES.values()) < set(SCHEMAS)

@@ -73,25 +73,34 @@ def _task_success(flag: Column) -> Column:
     return F.when(flag == "A", "yes").when(flag == "N", "no").otherwise("not_classified")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class OrderTables:
+    """The tables of one folder, each opened once (opening reads a file footer)."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._folder = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._opened[name]
+
+
+def records(tables: OrderTables) -> DataFrame:
     """source, country, subregion and one label per facet, for every order line.
 
     Three equi-joins on well-spread keys, with only the needed columns; which sides are
     broadcast is left to the size threshold. Keys and flags travel through the joins in their
     short form and become labels afterwards.
     """
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = tables["orders"].select(
         "o_orderkey", "o_custkey", "o_orderpriority"
     )
-    customers = read_table(spark, sf_dir, "customer").select(
+    customers = tables["customer"].select(
         "c_custkey", "c_nationkey", "c_mktsegment"
     )
-    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = read_table(spark, sf_dir, "lineitem").select(
+    parts = tables["part"].select("p_partkey", "p_brand")
+    lines = tables["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
     )
     placed = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select(
@@ -114,14 +123,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+def countries(tables: OrderTables) -> DataFrame:
+    people = tables["customer"].groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("customers")
     )
     key = F.col("n_nationkey")
     population = F.when(key != NO_POPULATION_NATION, F.col("customers") * 1000)
     return (
-        read_table(spark, sf_dir, "nation")
+        tables["nation"]
         .filter(key != UNKNOWN_NATION)
         .join(people, F.col("c_nationkey") == key, "left")
         .select(
@@ -134,10 +143,10 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def provinces(tables: OrderTables) -> DataFrame:
     region = _subregion(F.col("c_nationkey"), F.col("c_mktsegment"))
     return (
-        read_table(spark, sf_dir, "customer")
+        tables["customer"]
         .filter(
             (F.col("c_nationkey") == FOCUS_NATION) & (F.col("c_mktsegment") != "HOUSEHOLD")
         )
@@ -146,9 +155,9 @@ def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def focus_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+def focus_population(tables: OrderTables) -> DataFrame:
     return (
-        read_table(spark, sf_dir, "customer")
+        tables["customer"]
         .filter(
             (F.col("c_nationkey") == FOCUS_NATION) & (F.col("c_mktsegment") != "HOUSEHOLD")
         )
@@ -160,8 +169,8 @@ def _brand_group() -> Column:
     return F.lpad(F.regexp_replace("p_brand", "^Brand#", ""), 2, "0")
 
 
-def occupations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "part").select(
+def occupations(tables: OrderTables) -> DataFrame:
+    parts = tables["part"].select(
         "p_partkey", "p_name", "p_size", _brand_group().alias("soc_group")
     )
     return number_within(parts, "soc_group", "p_partkey", "position").select(
@@ -173,26 +182,26 @@ def occupations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def occupation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "part").select(
+def occupation_groups(tables: OrderTables) -> DataFrame:
+    return tables["part"].select(
         _brand_group().alias("soc_group"), F.col("p_brand").alias("name")
     ).distinct()
 
 
-def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lens(tables: OrderTables) -> DataFrame:
     """The categories of interest that the part table really has."""
     return (
-        read_table(spark, sf_dir, "part")
+        tables["part"]
         .filter(F.col("p_brand").isin(*LENS))
         .select(F.col("p_brand").alias("cluster"))
         .distinct()
     )
 
 
-def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def territories(tables: OrderTables) -> DataFrame:
     """The nation that is listed both as a country and inside another one."""
     code = _nation_code(F.col("n_nationkey"))
-    return read_table(spark, sf_dir, "nation").filter(
+    return tables["nation"].filter(
         F.col("n_nationkey") == TERRITORY_NATION
     ).select(
         F.lit(TERRITORY_PARENT).alias("parent"),
@@ -202,13 +211,14 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    tables = OrderTables(spark, sf_dir)
     return typed_inputs(
-        facts=rollup_facts(records(spark, sf_dir), SPEC),
-        countries=countries(spark, sf_dir),
-        provinces=provinces(spark, sf_dir),
-        focus_population=focus_population(spark, sf_dir),
-        occupation_groups=occupation_groups(spark, sf_dir),
-        occupations=occupations(spark, sf_dir),
-        lens=lens(spark, sf_dir),
-        territories=territories(spark, sf_dir),
+        facts=rollup_facts(records(tables), SPEC),
+        countries=countries(tables),
+        provinces=provinces(tables),
+        focus_population=focus_population(tables),
+        occupation_groups=occupation_groups(tables),
+        occupations=occupations(tables),
+        lens=lens(tables),
+        territories=territories(tables),
     )
