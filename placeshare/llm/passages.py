@@ -31,10 +31,11 @@ from pyspark.sql.window import Window
 
 from placeshare.llm.common import U64, WordHasher, mixed, runs, stored
 
-GRAM, WINDOW = 8, 24
+GRAM, WINDOW = 8, 30
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SORTED_ROWS = 8192
+BROADCAST_TEXTS = 2_000_000  # 16 MB of hashes
 
 
 class Ranges:
@@ -98,11 +99,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch], words: int, window: int) -> Ite
             codes = (hashes >> U64(32)).astype(">u4")
             at = np.sort(np.array(wanted[i].as_py(), dtype=np.int64))
             heads = ranges(at, sure).astype(np.int64)
-            for p, head in zip(at.tolist(), heads.tolist()):
-                a, b = max(0, p - window + 1), min(n, p + words)
-                with np.errstate(over="ignore"):
-                    around = mixed(ranges(np.array([a]), b - a) + U64((p - a) << 8 | (b - p)))
-                context = int(around.astype(np.int64)[0])
+            low, high = np.maximum(at - window + 1, 0), np.minimum(at + words, n)
+            with np.errstate(over="ignore"):
+                around = (ranges.sums[high] - ranges.sums[low]) * ranges.down[low]
+                around = mixed(mixed(around) + ((at - low) << 8 | (high - at)).astype(U64)).astype(np.int64)
+            for p, a, b, head, context in zip(*(x.tolist() for x in (at, low, high, heads, around))):
                 right = left = None
                 if context not in seen:
                     seen.add(context)
@@ -186,13 +187,17 @@ def repeated_passages(docs: DataFrame, words: int = 50, window: int = WINDOW) ->
             partial(_starts, words=words, window=window), "text_hash long, place int, head long"), "starts",
     )
     twice = starts.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    places = starts.join(twice, "head").groupBy("text_hash").agg(F.collect_set("place").alias("places"))
+    places = stored(
+        starts.join(twice, "head").groupBy("text_hash").agg(F.collect_set("place").alias("places")), "places",
+    )
+    if places.count() <= BROADCAST_TEXTS:  # else the join itself drops the texts without places
+        long_enough = long_enough.join(F.broadcast(places.select("text_hash")), "text_hash", "left_semi")
     rows = stored(
         long_enough.join(places, "text_hash").select("doc_id", "text_hash", "text", "places")
         .mapInArrow(partial(_suffixes, words=words, window=window), SUFFIX), "suffixes",
     )
-    held = rows.groupBy("head", "context").agg(
-        F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("low"),
+    held = rows.groupBy("context").agg(
+        F.first("head").alias("head"), F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("low"),
         F.max(F.coalesce("doc_id", F.lit(-1))).alias("high"), F.max("right").alias("right"), F.max("left").alias("left"),
     )
     matches = (

@@ -90,7 +90,7 @@ def nnpu(positive, unlabelled, size: int, prior: float, steps: int = 300, rate:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train: Column, positives: int = 4000, unlabelled: int = 8000,
+    docs: DataFrame, labels: DataFrame, train: Column, positives: int = 3000, unlabelled: int = 6000,
     clip: int = 20_000, vocabulary: int = 8192,
 ) -> dict:
     """A classifier from the labels and texts for which ``train`` (of ``doc_id``) holds."""
@@ -103,15 +103,18 @@ def fit(
     open_ids = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*hash_order()).limit(unlabelled).distinct()
     ids = toxic.withColumn("toxic", F.lit(True)).unionByName(open_ids.withColumn("toxic", F.lit(False)))
     rows = sorted(labelled_sample(docs, ids, clip), key=lambda r: (r.toxic, r.doc_id))
-    words = {t: [{f for w in set(r.text.split()) for f in features(w)} for r in rows if r.toxic == t] for t in (True, False)}
-    if not words[True] or not words[False]:
+    n, m = (sum(r.toxic == t for r in rows) for t in (True, False))
+    if not n or not m:
         return {"vocabulary": {}, "weights": None}
-    p, u = (Counter(f for r in words[t] for f in r) for t in (True, False))
-    n, m = len(words[True]), len(words[False])
-    apart = {f: abs(np.log((c + 0.5) / n) - np.log((u[f] + 0.5) / m)) * np.sqrt(c) for f, c in p.items() if c >= 3}
+    of = lambda r: {f for w in set(r.text.split()) for f in features(w)}
+    p = Counter(f for r in rows if r.toxic for f in of(r))
+    p = {f: c for f, c in p.items() if c >= 3}
+    u = Counter(f for r in rows if not r.toxic for f in of(r) if f in p)
+    apart = {f: abs(np.log((c + 0.5) / n) - np.log((u[f] + 0.5) / m)) * np.sqrt(c) for f, c in p.items()}
     best = sorted(apart, key=lambda f: (-apart[f], f))[:vocabulary]
     numbers = {f: i for i, f in enumerate(best)}
-    rows_of = lambda t: _matrix([{numbers[f] for f in r if f in numbers} for r in words[t]])
+    read = Reader(numbers)
+    rows_of = lambda t: _matrix([read(r.text) for r in rows if r.toxic == t])
     return {"vocabulary": numbers, "weights": nnpu(rows_of(True), rows_of(False), len(best), prior)}
 
 
