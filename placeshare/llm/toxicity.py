@@ -110,8 +110,8 @@ def fit(
     p = Counter(f for r in rows if r.toxic for f in of(r))
     p = {f: c for f, c in p.items() if c >= 3}
     u = Counter(f for r in rows if not r.toxic for f in of(r) if f in p)
-    apart = {f: abs(np.log((c + 0.5) / n) - np.log((u[f] + 0.5) / m)) * np.sqrt(c) for f, c in p.items()}
-    best = sorted(apart, key=lambda f: (-apart[f], f))[:vocabulary]
+    apart = {f: abs(np.log((c + 0.5) / n) - np.log((u[f] + 0.5) / m)) * c**0.75 for f, c in p.items()}
+    best = sorted(apart, key=lambda f: (-apart[f], f))[: min(vocabulary, 32 + 4 * n)]
     numbers = {f: i for i, f in enumerate(best)}
     read = Reader(numbers)
     rows_of = lambda t: _matrix([read(r.text) for r in rows if r.toxic == t])
