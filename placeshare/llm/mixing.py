@@ -228,15 +228,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         mixed(docs, **options).groupBy("row_hash").agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
         .where("copies > 0"), "taken",
     )
-    hashed = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*docs.columns).alias("row_hash"))
     each = (
         hashed.join(taken.where("copies >= m"), "row_hash")
-        .withColumn("copy", F.explode(F.expr("sequence(1L, copies div m)"))).select(*docs.columns)
+        .withColumn("copy", F.explode(F.expr("sequence(1L, copies div m)"))).select("doc.*")
     )
     uneven = taken.where("copies % m > 0")
     if uneven.limit(1).count():  # equal rows of which some are taken once more
-        once = hashed.join(uneven, "row_hash").groupBy(*docs.columns).agg(F.first(F.expr("copies % m")).alias("more"))
-        each = each.unionByName(
-            once.withColumn("copy", F.explode(F.expr("sequence(1L, more)"))).select(*docs.columns)
-        )
+        once = hashed.join(uneven, "row_hash").groupBy("doc").agg(F.first(F.expr("copies % m")).alias("more"))
+        each = each.unionByName(once.withColumn("copy", F.explode(F.expr("sequence(1L, more)"))).select("doc.*"))
     return each
