@@ -41,7 +41,7 @@ query("a_group_total", "select source, geo_id, sum(x) as n from req group by sou
 )
 
 query("a_group_stats", """
-    select left(occ_code, 2) as soc_group, count(*) as occupations,
+    select split_part(occ_code, '-', 1) as soc_group, count(*) as occupations,
            avg(observed_exposure) as mean_exposure, max(observed_exposure) as max_exposure
     from occupations group by 1
 """, "mean_exposure max_exposure")(
@@ -51,7 +51,7 @@ query("a_group_stats", """
 )
 
 query("a_median", """
-    select left(occ_code, 2) as soc_group, median(observed_exposure) as median_exposure
+    select split_part(occ_code, '-', 1) as soc_group, median(observed_exposure) as median_exposure
     from occupations group by 1
 """, "median_exposure")(
     lambda t: function_exposure.group_stats(t.inputs.occupations, t.d).select(
@@ -60,7 +60,7 @@ query("a_median", """
 )
 
 query("a_share_positive", """
-    select left(occ_code, 2) as soc_group,
+    select split_part(occ_code, '-', 1) as soc_group,
            avg(case when observed_exposure > 0 then 1e0 else 0e0 end) as share_with_exposure
     from occupations group by 1
 """, "share_with_exposure")(
@@ -71,8 +71,8 @@ query("a_share_positive", """
 
 query("a_arg_max", """
     select soc_group, title as most_exposed_occupation from (
-        select left(occ_code, 2) as soc_group, title,
-               row_number() over (partition by left(occ_code, 2)
+        select split_part(occ_code, '-', 1) as soc_group, title,
+               row_number() over (partition by split_part(occ_code, '-', 1)
                                   order by observed_exposure desc, title) as pos
         from occupations) where pos = 1
 """)(
@@ -82,7 +82,7 @@ query("a_arg_max", """
 )
 
 query("a_filtered_avg", """
-    select left(occ_code, 2) as soc_group,
+    select split_part(occ_code, '-', 1) as soc_group,
            avg(observed_exposure) filter (where observed_exposure > 0) as mean_exposure
     from occupations group by 1
 """, "mean_exposure")(

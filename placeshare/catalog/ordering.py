@@ -27,13 +27,13 @@ def w_pool_sum(t):
 
 
 query("w_row_number", """
-    select occ_code, row_number() over (partition by left(occ_code, 2) order by occ_code) as pos
+    select occ_code, row_number() over (partition by split_part(occ_code, '-', 1) order by cast(split_part(occ_code, '-', 2) as bigint)) as pos
     from occupations
 """)(
     lambda t: number_within(
         t.inputs.occupations.select(
             "occ_code", places.occupation_group(F.col("occ_code")).alias("soc_group"),
-            F.substring("occ_code", 4, 4).cast("long").alias("serial"),
+            F.substring_index("occ_code", "-", -1).cast("long").alias("serial"),
         ),
         "soc_group", "serial", "pos", width=64,
     ).select("occ_code", "pos")

@@ -182,9 +182,9 @@ query("view_provinces", f"""
     lambda t: views.view_provinces(t.metrics["geo_usage"], t.names)
 )
 
-LABEL = """case metric when 'work_share' then 'Work-related' when 'coursework_share'
-    then 'Coursework' when 'automation_share' then 'Automation pattern'
-    else 'Classified success' end as label"""
+LABEL = """case metric when 'work_share' then 'Use at work' when 'coursework_share'
+    then 'Use for studies' when 'automation_share' then 'Handed over whole'
+    else 'Rated a success' end as label"""
 
 query("view_vs_rest", f"""
     select {LABEL}, 'the world' as parent, 100e0 * share as share_pct,

@@ -123,7 +123,7 @@ query("p_parent_id", """
     ).distinct()
 )
 
-query("p_soc_group", "select occ_code, left(occ_code, 2) as soc_group from occupations")(
+query("p_soc_group", "select occ_code, split_part(occ_code, '-', 1) as soc_group from occupations")(
     lambda t: t.inputs.occupations.select(
         "occ_code", places.occupation_group(F.col("occ_code")).alias("soc_group")
     )
@@ -149,11 +149,11 @@ query("f_pattern_escape", r"""
 )
 
 query("f_regex", """
-    select occ_code, regexp_matches(occ_code, '^[0-9]{2}-[0-9]{4}$') as is_wellformed
+    select occ_code, regexp_matches(occ_code, '^[0-9]{2,}-[0-9]{4,}$') as is_wellformed
     from occupations
 """)(
     lambda t: t.inputs.occupations.select(
-        "occ_code", F.col("occ_code").rlike("^[0-9]{2}-[0-9]{4}$").alias("is_wellformed")
+        "occ_code", F.col("occ_code").rlike("^[0-9]{2,}-[0-9]{4,}$").alias("is_wellformed")
     )
 )
 

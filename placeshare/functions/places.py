@@ -44,7 +44,12 @@ def country_or_global(level: Column, country: Column) -> Column:
 
 
 def occupation_group(occ_code: Column) -> Column:
-    return F.substring(occ_code, 1, 2)
+    return F.substring_index(occ_code, "-", 1)
+
+
+def padded(value: Column, width: int) -> Column:
+    """Zeros in front up to ``width``; a longer value stays whole."""
+    return F.lpad(value, F.greatest(F.lit(width), F.length(value)), F.lit("0"))
 
 
 def is_count_of_facet(facet: Column, variable: Column) -> Column:

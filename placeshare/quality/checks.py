@@ -243,7 +243,7 @@ def unknown_lens_clusters(facts: DataFrame, lens: DataFrame, d: Definition) -> D
     return lens.filter(F.col("cluster").isNotNull()).join(taxonomy, "cluster", "left_anti")
 
 
-OCCUPATION_CODE = "^[0-9]{2}-[0-9]{4}$"
+OCCUPATION_CODE = "^[0-9]{2,}-[0-9]{4,}$"
 
 
 def job_exposure_contract(occupations: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def header_violations(
     )
     bad = []
     for (_, path), line in zip(opened, lines):
-        columns = [c.strip().strip('"') for c in line.lstrip("\ufeff").rstrip("\r").split(",")]
+        columns = [c.strip('"') for c in line.lstrip("\ufeff").rstrip("\r").split(",")]
         if columns != list(FACT_COLUMNS):
             bad.append((path.toString(), columns))
     return bad

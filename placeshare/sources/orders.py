@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeshare.definition import Definition
+from placeshare.functions.places import padded
 from placeshare.inputs import Inputs, typed_inputs
 from placeshare.operators.numbering import number_within
 from placeshare.operators.rollup import RollupSpec, rollup_facts
@@ -41,7 +42,7 @@ DEFINITION = Definition(focus_country=FOCUS)
 
 
 def _nation_code(key: Column) -> Column:
-    return F.concat(F.lit("N"), F.lpad(key.cast("string"), 2, "0"))
+    return F.concat(F.lit("N"), padded(key.cast("string"), 2))
 
 
 def _country(key: Column) -> Column:
@@ -166,7 +167,7 @@ def focus_population(tables: OrderTables) -> DataFrame:
 
 
 def _brand_group() -> Column:
-    return F.lpad(F.regexp_replace("p_brand", "^Brand#", ""), 2, "0")
+    return padded(F.regexp_replace("p_brand", "^Brand#", ""), 2)
 
 
 def occupations(tables: OrderTables) -> DataFrame:
@@ -175,7 +176,7 @@ def occupations(tables: OrderTables) -> DataFrame:
     )
     return number_within(parts, "soc_group", "p_partkey", "position").select(
         F.concat(
-            "soc_group", F.lit("-"), F.lpad(F.col("position").cast("string"), 4, "0")
+            "soc_group", F.lit("-"), padded(F.col("position").cast("string"), 4)
         ).alias("occ_code"),
         F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("title"),
         (F.greatest(F.col("p_size") - 20, F.lit(0)) / F.lit(30.0)).alias("observed_exposure"),
