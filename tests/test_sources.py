@@ -123,3 +123,17 @@ def test_tables_are_written_under_the_shared_folder(spark, golden):
     frame = written(golden.inputs.facts, "facts", ("source", "facet"))
     assert all(shared_dir(spark) in path for path in frame.inputFiles())
     assert sorted(map(str, frame.collect())) == sorted(map(str, golden.inputs.facts.collect()))
+
+
+def test_codes_stay_whole_above_9999_parts_and_99_brands(spark):
+    from placeshare.sources import orders
+
+    parts = spark.range(1, 12_101).selectExpr(
+        "id as p_partkey", "concat('part ', id) as p_name", "cast(id % 50 as int) as p_size",
+        "concat('Brand#', if(id <= 12000, 7, id - 12000 + 20)) as p_brand",
+    )
+    codes = orders.occupations({"part": parts}).select("occ_code").collect()
+    assert len({r.occ_code for r in codes}) == 12_100
+    groups = {r.soc_group for r in orders.occupation_groups({"part": parts}).collect()}
+    assert {r.occ_code.split("-")[0] for r in codes} == groups and {"07", "21", "120"} <= groups
+    assert {"07-0001", "07-12000", "120-0001"} <= {r.occ_code for r in codes}
