@@ -16,11 +16,11 @@ TABLES: dict[str, str] = {
     "recs": """
         select case when l.l_suppkey % 4 = 0 then 'api' else 'chat' end as source,
                case when c.c_nationkey = 24 then 'not_classified'
-                    else 'N' || lpad(cast(c.c_nationkey as varchar), greatest(2, length(cast(c.c_nationkey as varchar))), '0') end as country,
+                    else 'N' || lpad(cast(c.c_nationkey as varchar), cast(greatest(2, length(cast(c.c_nationkey as varchar))) as integer), '0') end as country,
                case when c.c_nationkey = 24 then null
                     when c.c_nationkey = 23 then 'N05-N23'
                     when c.c_nationkey = 3 and c.c_mktsegment = 'HOUSEHOLD' then 'N03-not_classified'
-                    else 'N' || lpad(cast(c.c_nationkey as varchar), greatest(2, length(cast(c.c_nationkey as varchar))), '0') || '-' || c.c_mktsegment
+                    else 'N' || lpad(cast(c.c_nationkey as varchar), cast(greatest(2, length(cast(c.c_nationkey as varchar))) as integer), '0') || '-' || c.c_mktsegment
                end as subregion,
                case left(o.o_orderpriority, 1) when '1' then 'work' when '2' then 'work'
                     when '3' then 'personal' when '5' then 'coursework' else 'none' end as use_case,
@@ -84,8 +84,8 @@ TABLES: dict[str, str] = {
                0, 'usage_pct', null, 100e0 * n / whole from volumes
     """,
     "dim_country": """
-        select 'N' || lpad(cast(n_nationkey as varchar), greatest(2, length(cast(n_nationkey as varchar))), '0') as iso2,
-               'XN' || lpad(cast(n_nationkey as varchar), greatest(2, length(cast(n_nationkey as varchar))), '0') as iso3, n_name as country,
+        select 'N' || lpad(cast(n_nationkey as varchar), cast(greatest(2, length(cast(n_nationkey as varchar))) as integer), '0') as iso2,
+               'XN' || lpad(cast(n_nationkey as varchar), cast(greatest(2, length(cast(n_nationkey as varchar))) as integer), '0') as iso3, n_name as country,
                case when n_nationkey <> 7 then
                  (select 1000 * count(*) from customer where c_nationkey = n_nationkey) end
                  as population,
@@ -101,17 +101,17 @@ TABLES: dict[str, str] = {
         from customer where c_nationkey = 3 and c_mktsegment <> 'HOUSEHOLD'
     """,
     "occupations": """
-        select brand || '-' || lpad(place, greatest(4, length(place)), '0') as occ_code,
+        select brand || '-' || lpad(place, cast(greatest(4, length(place)) as integer), '0') as occ_code,
                p_name || ' ' || cast(p_partkey as varchar) as title,
                greatest(p_size - 20, 0) / 30e0 as observed_exposure
         from (
             select *, cast(row_number() over (partition by brand order by p_partkey) as varchar) as place
             from (select *, lpad(replace(p_brand, 'Brand#', ''),
-                                 greatest(2, length(replace(p_brand, 'Brand#', ''))), '0') as brand from part)
+                                 cast(greatest(2, length(replace(p_brand, 'Brand#', ''))) as integer), '0') as brand from part)
         )
     """,
     "dim_occupation_group": """
-        select distinct lpad(replace(p_brand, 'Brand#', ''), greatest(2, length(replace(p_brand, 'Brand#', ''))), '0') as soc_group, p_brand as name
+        select distinct lpad(replace(p_brand, 'Brand#', ''), cast(greatest(2, length(replace(p_brand, 'Brand#', ''))) as integer), '0') as soc_group, p_brand as name
         from part
     """,
     "lens": """
