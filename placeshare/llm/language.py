@@ -71,6 +71,18 @@ def suffix_automaton(signs: list[int], symbols: int) -> np.ndarray:
     return table
 
 
+def sparse(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A table of transitions by those that exist: a fraction of its size to send around."""
+    at = np.flatnonzero(table.ravel() >= 0).astype(np.int32)
+    return table.size, at, table.ravel()[at]
+
+
+def dense(size: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    table = np.full(size, -1, dtype=np.int32)
+    table[at] = to
+    return table.reshape(-1, SYMBOLS)
+
+
 def letter_classes(samples: list[str], symbols: int = SYMBOLS) -> np.ndarray:
     """For each code point up to 65,535 its class: 0 for all but letters, rare letters share classes."""
     common = [c for c, _ in Counter(c for s in samples for c in s.lower() if c.isalpha()).most_common(symbols - 17)]
@@ -148,7 +160,7 @@ def fit(docs: DataFrame, train: Column, documents: int = 64, sample: int = 40_00
     langs = sorted(lang for lang, s in signs.items() if len(s))
     return {
         "langs": langs, "classes": classes,
-        "tables": [suffix_automaton(signs[lang].tolist(), SYMBOLS) for lang in langs],
+        "tables": [sparse(suffix_automaton(signs[lang].tolist(), SYMBOLS)) for lang in langs],
         "bits": np.array([np.log2(len(signs[lang]) + 1) for lang in langs]),
     }
 
@@ -156,7 +168,7 @@ def fit(docs: DataFrame, train: Column, documents: int = 64, sample: int = 40_00
 def _identified(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
     langs, bits = model["langs"], model["bits"]
-    parser = Parser(model["tables"]) if langs else None
+    parser = Parser([dense(*t) for t in model["tables"]]) if langs else None
     for batch in batches:
         n = batch.num_rows
         total = np.zeros((max(1, len(langs)), n))
