@@ -18,6 +18,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 18
+PIECES = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,15 +142,22 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
+def excerpt(text: Column, clip: int) -> Column:
+    """A text of at most ``clip`` characters as it is; of a longer one, ``PIECES`` pieces spread over all of it."""
+    size, piece = F.length(text), max(1, clip // PIECES)
+    place = lambda i: (i * (size - piece) / (PIECES - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, place(i), F.lit(piece)))
+    return F.when(size <= clip, text).otherwise(F.concat_ws(" ", pieces))
+
+
 def labelled_sample(docs: DataFrame, ids: DataFrame, clip: int) -> list:
-    """Texts of a bounded list of (``doc_id``, more columns), cut to ``clip`` characters; one per id.
+    """Excerpts of ``clip`` characters for a bounded list of (``doc_id``, more columns); one per id.
 
     ``ids`` must be bounded by its caller: it is broadcast, and as many rows come to the driver.
     """
-    from_docs = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, clip).alias("text"))
-    picked = from_docs.join(F.broadcast(ids), "doc_id")
     more = [c for c in ids.columns if c != "doc_id"]
-    return picked.groupBy("doc_id", *more).agg(F.min("text").alias("text")).collect()
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return picked.groupBy("doc_id", *more).agg(F.min(excerpt(F.col("text"), clip)).alias("text")).collect()
 
 
 def hash_order(doc_id: str = "doc_id") -> list[Column]:

@@ -9,7 +9,8 @@ Letters are lower-cased and all else is one separator. Long texts are parsed in
 ``SEGMENT`` signs side by side, so every sign counts and one more phrase may arise at each cut.
 Numpy follows the automata of all languages for many segments at once.
 
-Samples are bounded: ``documents`` texts per language, picked by hash, of at most ``sample`` signs
+Samples are bounded: ``documents`` texts per language, picked by hash (of one with more than ``clip``
+characters, pieces from all over it), of at most ``sample`` signs
 together. Null texts and texts without letters are ``und`` with score 0. Without any sample all
 texts are. Labels that are null or whose sample has no letters do not count. The score is the
 runner-up's phrases over the sum of both (1.0 with one language). Repeated rows get the same

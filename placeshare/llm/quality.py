@@ -6,8 +6,8 @@ that the good dictionary describes better. A logistic curve over these differenc
 text, mean and largest over its windows) and over the text's own compressed ratio, fitted on
 labelled texts that the dictionaries have not seen, turns them into a probability of being good.
 
-Fitting uses a bounded sample: at most ``sample`` labelled documents per class and part, picked by hash, of at
-most ``clip`` characters each. Scoring reads every text whole. Null texts count as empty. If one
+Fitting uses a bounded sample: at most ``sample`` labelled documents per class and part, picked by hash; of
+one with more than ``clip`` characters, pieces from all over it. Scoring reads every text whole. Null texts count as empty. If one
 class has no labelled documents, every score is the share of good labels (1.0 without any labels).
 Several labels for one document count on their own. Repeated rows get the same score, extra columns
 are ignored, and an empty table gives an empty result.

@@ -8,8 +8,8 @@ negative, that is, where unlabelled positives are being learned as negatives, th
 other way. Losses are logistic, steps are Adam's, all in numpy.
 
 The prior is the share of toxic labels among the training labels. Fitting uses a bounded sample:
-``positives`` and ``unlabelled`` documents picked by hash, of ``clip`` characters each, and the
-``vocabulary`` features that tell them apart best. Scoring reads every text whole.
+``positives`` and ``unlabelled`` documents picked by hash (of one with more than ``clip``
+characters, pieces from all over it) and the ``vocabulary`` features that tell them apart best. Scoring reads every text whole.
 
 Null texts count as empty; an empty text gets the score of a text without known words. Without
 confirmed examples every score is 0. Repeated rows get the same score, extra columns are ignored,
