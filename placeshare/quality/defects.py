@@ -198,7 +198,7 @@ def _evaluate(
         return [(*row, corpus.name) for part in rows for row in part], []
     except PySparkException as failure:
         if len(defects) == 1:
-            return [], [(defects[0].id, str(failure)[:200])]
+            return [], [(defects[0].id, str(failure))]
         found, errors = [], []
         for defect in defects:
             more, failed = _evaluate(corpus, [defect], metrics)

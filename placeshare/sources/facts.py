@@ -25,18 +25,30 @@ class MissingSourcesError(FileNotFoundError):
     """Configured fact files that do not exist."""
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 def _data_files(spark: SparkSession, path: str) -> list:
-    """(file system, path) of the non-empty data files a path, folder or pattern stands for."""
+    """(file system, path) of the non-empty data files a path, folder or pattern stands for.
+
+    Folders are followed to any depth, with the scan's own rule for names that do not count.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     pattern = jvm.org.apache.hadoop.fs.Path(path)
     files = pattern.getFileSystem(conf)
-    found = []
-    for status in files.globStatus(pattern) or []:
-        inside = files.listStatus(status.getPath()) if status.isDirectory() else [status]
-        for item in inside:
-            hidden = item.getPath().getName().startswith(("_", "."))
-            if item.isFile() and item.getLen() > 0 and not hidden:
+    found, folders = [], []
+
+    def take(items):
+        for item in items:
+            if item.isDirectory():
+                folders.append(item.getPath())
+            elif item.getLen() > 0 and not _hidden(item.getPath().getName()):
                 found.append((files, item.getPath()))
+
+    take(files.globStatus(pattern) or [])
+    while folders:
+        take(i for i in files.listStatus(folders.pop()) if not _hidden(i.getPath().getName()))
     return found
 
 
@@ -76,7 +88,7 @@ def header_violations(
 def check_header(spark: SparkSession, paths: str | Sequence[str]) -> None:
     bad = header_violations(spark, paths)
     if bad:
-        shown = "; ".join(f"{file}: {columns}" for file, columns in bad[:5])
+        shown = "; ".join(f"{file}: {columns}" for file, columns in bad)
         raise SchemaError(f"expected columns {list(FACT_COLUMNS)}, found {shown}")
 
 

@@ -43,6 +43,20 @@ def test_another_layout_is_refused_before_any_row_is_read(spark, tmp_path, good,
         facts.scan_facts_csv(spark, [str(good), str(bad)], "api")
 
 
+def test_files_in_nested_folders_are_checked_with_exact_names(spark, tmp_path):
+    folder = tmp_path / "facts"
+    nested = folder / "week=1" / "day=2"
+    nested.mkdir(parents=True)
+    (folder / "_notes").mkdir()
+    (folder / "_notes" / "other.csv").write_text("not,facts\n")
+    (nested / "good.csv").write_text("\n".join([HEADER, *ROWS]) + "\n")
+    assert facts.header_violations(spark, str(folder)) == []
+    for name, header in (("renamed.csv", HEADER.replace("variable", "metric")), ("padded.csv", " " + HEADER)):
+        (nested / name).write_text("\n".join([header, *ROWS]) + "\n")
+    found = facts.header_violations(spark, str(folder))
+    assert sorted(file.rsplit("/", 1)[-1] for file, _ in found) == ["padded.csv", "renamed.csv"]
+
+
 def test_a_malformed_number_fails_the_scan(spark, tmp_path):
     bad = tmp_path / "bad.csv"
     bad.write_text("\n".join([HEADER, ROWS[0].replace("12.0", "many")]) + "\n")
