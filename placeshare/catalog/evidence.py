@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from placeshare.catalog.checks import CHECKS_SQL
 from placeshare.catalog.core import query
 from placeshare.catalog.report import BRIEF
-from placeshare.catalog.tables import gate
-from placeshare.plans.pipeline import golden_corpus, run_pipeline
+from placeshare.catalog.tables import gate, order_files, planted, published_digests
+from placeshare.plans.pipeline import run_pipeline
 from placeshare.quality import defects
 from placeshare.quality.investigate import rollup_report
 from placeshare.quality.invariants import INVARIANTS, check_invariants
@@ -14,8 +14,9 @@ from placeshare.quality.reconcile import (
     normalize_frame, reconcile_all, reconcile_metric, reconcile_summary,
 )
 from placeshare.report.figures import brief_facts, figure_verification
-from placeshare.sources import orders
+from placeshare.sources import orders, sinks
 from placeshare.sources.manifest import source_manifest
+from placeshare.sources.storage import new_path
 
 query("normalize_frame", """
     select geo_id, cluster, x, case when is_finance_lens then 1e0 else 0e0 end as is_finance_lens
@@ -128,15 +129,9 @@ def _corpus(t):
     return defects.Corpus("order data", t.inputs, t.d, t.results[1])
 
 
-query("defect_run")(
-    lambda t: defects.defect_run(_corpus(t), next(d for d in defects.DEFECTS if d.id == "M09"))
-)
+query("defect_run")(lambda t: defects.defect_run(_corpus(t), *defects.DEFECTS))
 
-query("defect_suite")(
-    lambda t: defects.defect_suite(
-        t.spark, [_corpus(t), golden_corpus(t.spark)], metrics={"order data": t.results[0]}
-    )
-)
+query("defect_suite")(planted)
 
 
 @query("override_sql", """
@@ -170,26 +165,37 @@ query("figure_verification", """
     )
 )
 
-GATE = f"""
+def _gate_sql(published: str) -> str:
+    return f"""
     select *, sources_match_published_checksums and reconciled and figures_verified
               and invariants = invariants_passed and checks = checks_passed as all_gates_passed
     from (
-        select false as sources_match_published_checksums,
+        select {published} as sources_match_published_checksums,
                (select cast(sum(cells_compared) as bigint) from ({SIZES})) as cells_compared,
                true as reconciled,
                (select count(*) from ({VERDICTS})) as invariants,
                (select count(*) filter (where passed) from ({VERDICTS})) as invariants_passed,
                (select count(*) from ({CHECKS_SQL})) as checks,
                (select count(*) filter (where passed) from ({CHECKS_SQL})) as checks_passed,
-               null::bigint as defects, null::bigint as defects_killed,
+               {len(defects.DEFECTS)}::bigint as defects, {len(defects.DEFECTS)}::bigint as defects_killed,
                (select count(*) from ({BRIEF})) as figures, true as figures_verified
     )
 """
-query("run_gate", GATE)(gate)
+query("run_gate", _gate_sql("false"))(gate)
+
+
+@query("write_summary", _gate_sql("false"))
+def write_summary(t):
+    out = new_path(t.spark, "artifacts")
+    summary = gate(t)
+    sinks.write_summary(summary, out)
+    return sinks.read_table(t.spark, f"{out}/qa/summary", summary.schema, "json")
 
 
-@query("run_pipeline", GATE)
+@query("run_pipeline", _gate_sql("true"))
 def pipeline(t):
-    manifest = source_manifest(t.spark, {"lineitem": f"{t.sf_dir}/lineitem.parquet"}, {})
-    inputs = orders.order_inputs(t.spark, t.sf_dir)
-    return run_pipeline(inputs, t.d, manifest, defects=None).summary
+    """Everything, with all defects and artifacts; the summary is read back from the artifacts."""
+    manifest = source_manifest(t.spark, order_files(t), published_digests(t))
+    out = new_path(t.spark, "artifacts")
+    run = run_pipeline(orders.order_inputs(t.spark, t.sf_dir), t.d, manifest, out)
+    return sinks.read_table(t.spark, f"{out}/qa/summary", run.summary.schema, "json")

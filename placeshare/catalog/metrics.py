@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeshare.catalog.core import query
+from placeshare.plans.registry import METRICS
 
 query("stg_facts", "select * from stg", "value")(lambda t: t.staged)
 
@@ -37,17 +38,18 @@ query(
 )(lambda t: t.metrics["function_exposure"])
 
 
-@query("metrics_all", """
+ESTIMATES = """
     select 'geo_usage' as metric, geo_id as key, usage_index as estimate from m_geo_usage
     union all select 'shares', source || '|' || geo_id || '|' || metric, share from m_shares
     union all select 'vs_rest', source || '|' || geo_id || '|' || metric, diff from m_vs_rest
     union all select 'request_mix', source || '|' || geo_id || '|' || cluster, lq from m_request_mix
     union all select 'platform_gap', metric, diff from m_platform_gap
     union all select 'function_exposure', soc_group, mean_exposure from m_function_exposure
-""", "estimate")
-def metrics_all(t):
-    from placeshare.plans.registry import METRICS
+"""
 
+
+def estimates(metrics):
+    """(metric, key, estimate): the main figure of every row of the six metrics."""
     estimate = {
         "geo_usage": "usage_index", "shares": "share", "vs_rest": "diff", "request_mix": "lq",
         "platform_gap": "diff", "function_exposure": "mean_exposure",
@@ -57,5 +59,8 @@ def metrics_all(t):
             F.lit(name).alias("metric"), F.concat_ws("|", *METRICS[name].keys).alias("key"),
             F.col(estimate[name]).alias("estimate"),
         )
-        for name, df in t.metrics.items()
+        for name, df in metrics.items()
     ])
+
+
+query("metrics_all", ESTIMATES, "estimate")(lambda t: estimates(t.metrics))

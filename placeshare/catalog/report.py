@@ -220,8 +220,6 @@ query("view_group_occupations", """
 
 @query("view_defects")
 def view_defects(t):
-    from placeshare.quality import defects
+    from placeshare.catalog.tables import planted
 
-    corpus = defects.Corpus("order data", t.inputs, t.d, t.results[1])
-    some = [d for d in defects.DEFECTS if d.id in ("M06", "M21", "M24")]
-    return views.view_defects(defects.defect_suite(t.spark, [corpus], some))
+    return views.view_defects(planted(t))

@@ -3,15 +3,19 @@
 from pyspark.sql import functions as F
 
 from placeshare.catalog.core import query
+from placeshare.catalog.metrics import ESTIMATES, estimates
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import SCHEMAS, SQL_TABLES, register_frames, sql_query
 from placeshare.operators.rollup import rollup_facts
 from placeshare.plans.gate import gate_parts, run_gate
+from placeshare.plans.registry import build_metrics
 from placeshare.quality.checks import run_checks
+from placeshare.quality.defects import Corpus, defect_suite
 from placeshare.quality.invariants import check_invariants
 from placeshare.quality.reconcile import reconcile_summary
 from placeshare.report.figures import brief_facts, figure_verification
 from placeshare.sources import dimensions, facts as fact_files, orders, sinks
+from placeshare.sources.loading import ReferenceFiles, load_inputs
 from placeshare.sources.manifest import source_manifest
 from placeshare.sources.storage import new_path
 
@@ -47,7 +51,7 @@ def header_contract(t):
         rows = t.facts.filter(F.col("source") == source).select(*FACT_COLUMNS)
         if source == "api":
             rows = rows.withColumnRenamed("variable", "metric")
-        rows.coalesce(1).write.csv(f"{folder}/{source}", header=True, escape='"')
+        rows.write.csv(f"{folder}/{source}", header=True, escape='"')
     accepted = F.lit(None).cast("boolean")
     for source in ("chat", "api"):
         clean = not fact_files.header_violations(t.spark, f"{folder}/{source}")
@@ -56,14 +60,16 @@ def header_contract(t):
 
 
 query("tag_source", """
-    select 'chat' as source, geo_id, facet, variable, cluster_name, value from facts
-    where source = 'chat'
+    select source, geo_id, facet, variable, cluster_name, value from facts
 """, "value")(
-    lambda t: fact_files.tag_source(
-        t.facts.filter(F.col("source") == "chat")
-        .select("geo_id", "facet", "variable", "cluster_name", "value"),
-        "chat",
-    )
+    lambda t: fact_files.union_sources([
+        fact_files.tag_source(
+            t.facts.filter(F.col("source") == source)
+            .select("geo_id", "facet", "variable", "cluster_name", "value"),
+            source,
+        )
+        for source in ("chat", "api")
+    ])
 )
 
 query("union_sources", ALL_FACTS, "value")(
@@ -73,9 +79,7 @@ query("union_sources", ALL_FACTS, "value")(
 )
 
 
-@query("scan_geonames_tsv", "select * from dim_country")
-def scan_geonames_tsv(t):
-    path = new_path(t.spark, "countries")
+def _country_list(t, path: str) -> None:
     fields = [F.lit("")] * dimensions.COUNTRY_FILE_WIDTH
     for name, position in dimensions.COUNTRY_FIELDS.items():
         fields[position] = F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -84,6 +88,12 @@ def scan_geonames_tsv(t):
     t.inputs.countries.select(
         F.concat(comment, F.lit("\n"), line, F.lit("\n")).alias("value")
     ).write.text(path)
+
+
+@query("scan_geonames_tsv", "select * from dim_country")
+def scan_geonames_tsv(t):
+    path = new_path(t.spark, "countries")
+    _country_list(t, path)
     return dimensions.scan_geonames_tsv(t.spark, path)
 
 
@@ -177,10 +187,37 @@ query("sql_query", AD_HOC.format(facts="facts", dim_country="dim_country"), "val
 )
 
 
+ORDER_FILES = ("lineitem", "orders", "customer", "part", "nation")
+
+
+def order_files(t) -> dict[str, str]:
+    return {name: f"{t.sf_dir}/{name}.parquet" for name in ORDER_FILES}
+
+
+def published_digests(t) -> dict[str, str]:
+    """One digest per order table, as a publisher would list them."""
+    return {
+        row.source: row.sha256
+        for row in source_manifest(t.spark, order_files(t), {}).collect()
+    }
+
+
 @query("source_manifest")
 def manifest(t):
-    files = {name: f"{t.sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "customer")}
-    return source_manifest(t.spark, files, {})
+    return source_manifest(t.spark, order_files(t), {})
+
+
+@query("manifest_matches", " union all ".join(
+    f"""select '{name}' as source, '{name}.parquet' as file, {str(name != "part").lower()}
+        as matches_published_sha256"""
+    for name in ORDER_FILES
+))
+def manifest_matches(t):
+    """Against digests published before, of which one has changed since."""
+    published = published_digests(t) | {"part": "0" * 64}
+    return source_manifest(t.spark, order_files(t), published).select(
+        "source", "file", "matches_published_sha256"
+    )
 
 
 @query("missing_sources", "select distinct source from facts where source = 'api'")
@@ -197,22 +234,55 @@ query("source_row_counts", """
 """)(lambda t: fact_files.source_row_counts(t.facts))
 
 
-@query("write_gold", "select * from m_shares", "x n share lo hi")
-def write_gold(t):
+def _rewritten(t, form: str):
     out = new_path(t.spark, "artifacts")
-    sinks.write_gold({"shares": t.metrics["shares"]}, out)
-    schema = t.metrics["shares"].schema
-    return sinks.read_gold(t.spark, out, {"shares": schema})["shares"]
+    sinks.write_gold(t.metrics, out, form)
+    wanted = {name: df.schema for name, df in t.metrics.items()}
+    return sinks.read_gold(t.spark, out, {**wanted, "not_written": wanted["shares"]}, form)
+
+
+@query("write_gold", ESTIMATES, "estimate")
+def write_gold(t):
+    read = _rewritten(t, "parquet")
+    return estimates({name: read[name] for name in t.metrics})
 
 
-@query("read_gold", "select * from m_function_exposure",
-       "mean_exposure median_exposure share_with_exposure max_exposure")
+@query("read_gold", f"""
+    select *, true as is_written from ({ESTIMATES})
+    union all select 'not_written', null, null, false
+""", "estimate")
 def read_gold(t):
-    out = new_path(t.spark, "artifacts")
-    frame = t.metrics["function_exposure"]
-    sinks.write_gold({"function_exposure": frame}, out, "csv")
-    wanted = {"function_exposure": frame.schema, "not_written": frame.schema}
-    return sinks.read_gold(t.spark, out, wanted, "csv")["function_exposure"]
+    read = _rewritten(t, "csv")
+    found = {name: df for name, df in read.items() if df is not None}
+    absent = [name for name in read if name not in found]
+    none = t.spark.createDataFrame(
+        [(name, None, None, False) for name in absent],
+        "metric string, key string, estimate double, is_written boolean",
+    )
+    return estimates(found).withColumn("is_written", F.lit(True)).unionByName(none)
+
+
+@query("load_inputs", ESTIMATES, "estimate")
+def loaded_from_files(t):
+    """The six metrics from nothing but files."""
+    folder = new_path(t.spark, "reference")
+    files = ReferenceFiles.in_folder(folder)
+    _country_list(t, files.countries)
+    countries = t.inputs.countries
+    sinks.write_table(
+        countries.filter(F.col("population").isNotNull()).select(
+            "iso3", F.col("country").alias("wb_name"), F.lit(2024).alias("year"), "population"
+        ), files.populations, "csv",
+    )
+    sinks.write_table(
+        _regions(t).select(
+            "geo_id", "name", "level", "population", F.lit("2026-01-01").alias("as_of"),
+            F.lit("orders").alias("source"),
+        ), files.regions, "csv",
+    )
+    for name in ("occupation_groups", "occupations", "lens", "territories"):
+        sinks.write_table(getattr(t.inputs, name), getattr(files, name), "csv")
+    return estimates(build_metrics(load_inputs(t.spark, _fact_files(t), files), t.d))
 
 
 @query("write_qa", """select * from gaps where gap <> 0""",
@@ -226,9 +296,20 @@ def write_qa(t):
     return sinks.read_table(t.spark, f"{out}/qa/rollup_gaps", report.schema)
 
 
+def order_corpora(t) -> list[Corpus]:
+    from placeshare.plans.pipeline import golden_corpus
+
+    return [Corpus("order data", t.inputs, t.d, t.results[1]), golden_corpus(t.spark)]
+
+
+def planted(t):
+    """All defects on the order tables and on the hand-made ones."""
+    return defect_suite(t.spark, order_corpora(t), metrics={"order data": t.results[0]})
+
+
 def gate(t):
     manifest_of = source_manifest(
-        t.spark, {"lineitem": f"{t.sf_dir}/lineitem.parquet"}, {"lineitem": "not published"}
+        t.spark, order_files(t), published_digests(t) | {"lineitem": "not published"}
     )
     figures = figure_verification(
         *[brief_facts(side, t.names, t.d) for side in t.results]
@@ -236,26 +317,10 @@ def gate(t):
     return run_gate(gate_parts(
         manifest_of, reconcile_summary(*t.results),
         check_invariants(t.results[0], t.inputs, t.d), run_checks(t.inputs, t.d), figures,
+        planted(t),
     ))
 
 
-@query("write_summary", """
-    select cast((select 8 * (select count(*) from m_geo_usage)
-         + 7 * (select count(*) from m_shares) + 10 * (select count(*) from m_vs_rest)
-         + 11 * (select count(*) from m_request_mix) + 7 * (select count(*) from m_platform_gap)
-         + 8 * (select count(*) from m_function_exposure)) as bigint) as cells_compared,
-         true as reconciled
-""")
-def write_summary(t):
-    out = new_path(t.spark, "artifacts")
-    summary = reconcile_summary(*t.results).agg(
-        F.sum("cells_compared").alias("cells_compared"),
-        (F.sum("mismatches") == 0).alias("reconciled"),
-    )
-    sinks.write_summary(summary, out)
-    return sinks.read_table(t.spark, f"{out}/qa/summary", summary.schema, "json")
-
-
 query("rollup_facts", ALL_FACTS, "value")(
     lambda t: rollup_facts(orders.records(orders.OrderTables(t.spark, t.sf_dir)), orders.SPEC)
 )

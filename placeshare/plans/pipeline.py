@@ -23,7 +23,8 @@ from placeshare.quality.invariants import check_invariants
 from placeshare.quality.reconcile import reconcile_metric, reconcile_summary
 from placeshare.report.figures import brief_facts, figure_verification, geo_names
 from placeshare.sources.concurrent import concurrently
-from placeshare.sources.facts import require_sources, source_row_counts
+from placeshare.sources.facts import source_row_counts
+from placeshare.sources.loading import ReferenceFiles, load_inputs
 from placeshare.sources.manifest import source_manifest
 from placeshare.sources.sinks import write_gold, write_qa, write_summary
 
@@ -127,15 +128,19 @@ def run_pipeline(
 def run_from_files(
     spark: SparkSession,
     files: Mapping[str, str],
+    reference: ReferenceFiles,
     published: Mapping[str, str],
-    inputs: Inputs,
     d: Definition,
     out: str | None = None,
     defects: Sequence[Defect] | None = DEFECTS,
 ) -> Run:
-    """As ``run_pipeline``, for fact files with published digests. Refuses to run without them."""
-    require_sources(spark, files)
-    return run_pipeline(inputs, d, source_manifest(spark, files, published), out, defects)
+    """As ``run_pipeline``, from files: those that are read are those that are digested.
+
+    Refuses to run if one is missing. ``published`` has digests by source and reference table.
+    """
+    inputs = load_inputs(spark, files, reference)
+    manifest = source_manifest(spark, {**files, **reference.paths()}, published)
+    return run_pipeline(inputs, d, manifest, out, defects)
 
 
 def gate_passed(run: Run) -> bool:

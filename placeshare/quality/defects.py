@@ -207,9 +207,9 @@ def _evaluate(
         return found, errors
 
 
-def defect_run(corpus: Corpus, defect: Defect) -> DataFrame:
-    """One defect on one corpus: (defect, layer, metric, corpus)."""
-    found = [compare() for compare in find_defects(corpus, [defect])]
+def defect_run(corpus: Corpus, *defects: Defect) -> DataFrame:
+    """Findings of the given defects on one corpus: (defect, layer, metric, corpus)."""
+    found = [compare() for compare in find_defects(corpus, defects)]
     return reduce(DataFrame.unionAll, found).withColumn("corpus", F.lit(corpus.name))
 
 

@@ -87,7 +87,12 @@ def dim_province(regions: DataFrame) -> DataFrame:
 
 
 def country_population(regions: DataFrame) -> DataFrame:
-    """One row: the published total of the focus country."""
+    """One row: the published total of the focus country. Any other number of rows is an error."""
+    found = F.count(F.lit(1))
+    message = F.concat(
+        F.lit("expected one row of level 'country' in the regions, found "), found.cast("string")
+    )
     return regions.filter(F.col("level") == "country").agg(
-        F.first("population", ignorenulls=True).cast("long").alias("population")
+        F.when(found == 1, F.max("population").cast("long"))
+        .otherwise(F.raise_error(message).cast("long")).alias("population")
     )

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# a binary-file row holds the whole file, and one row is limited to 2 GB
-MAX_DIGEST_BYTES = 2_000_000_000
+READ_BYTES = 4 << 20
+DIGESTED = "path string, bytes long, sha256 string"
+
+
+def _digest(path: str) -> str:
+    """SHA-256 of a file's bytes as they are stored, in reads of a fixed size."""
+    if path.startswith("file:"):
+        system, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, place = fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(place, compression=None) as stream:
+        while block := stream.read(READ_BYTES):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = pa.array([_digest(p) for p in batch["path"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch["path"], batch["bytes"], digests], names=["path", "bytes", "sha256"]
+        )
 
 
 def source_manifest(
@@ -16,23 +40,21 @@ def source_manifest(
 ) -> DataFrame:
     """(source, file, bytes, sha256, matches_published_sha256), one row per file.
 
-    Every file is hashed by one task on an executor, and only the digest leaves it. A file too
-    large for one row gets its size, a null digest, and does not match.
+    Spark lists the files; each is hashed by one task on an executor, which holds one read of it
+    at a time, so there is no limit on its size. The store must be one that pyarrow opens by the
+    same address (local and mounted folders, HDFS, S3, GCS, Azure). Spark does not list files
+    without bytes: a source that has no others gets one row, without a digest or a match.
     """
     rows = []
     for source, path in files.items():
-        files_of_source = spark.read.format("binaryFile").load(path)
-        small = files_of_source.filter(F.col("length") <= MAX_DIGEST_BYTES).select(
-            "path", "length", F.sha2("content", 256).alias("sha256")
-        )
-        large = files_of_source.filter(F.col("length") > MAX_DIGEST_BYTES).select(
-            "path", "length", F.lit(None).cast("string").alias("sha256")
+        listed = spark.read.format("binaryFile").load(path).select(
+            "path", F.col("length").alias("bytes")
         )
         rows.append(
-            small.unionByName(large).select(
+            listed.mapInArrow(_digests, DIGESTED).select(
                 F.lit(source).alias("source"),
                 F.element_at(F.split("path", "/"), -1).alias("file"),
-                F.col("length").alias("bytes"),
+                "bytes",
                 "sha256",
                 F.coalesce(
                     F.col("sha256") == F.lit(published.get(source)), F.lit(False)
@@ -42,4 +64,12 @@ def source_manifest(
     result = rows[0]
     for more in rows[1:]:
         result = result.unionByName(more)
-    return result
+    named = spark.createDataFrame(
+        [(source, path.rstrip("/").rsplit("/", 1)[-1]) for source, path in files.items()],
+        "source string, given string",
+    )
+    return named.join(result, "source", "left").select(
+        "source", F.coalesce("file", "given").alias("file"),
+        F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), "sha256",
+        F.coalesce("matches_published_sha256", F.lit(False)).alias("matches_published_sha256"),
+    )

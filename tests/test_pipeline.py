@@ -1,6 +1,4 @@
-import pytest
-
-from placeshare.plans.pipeline import gate_passed, run_from_files, run_pipeline
+from placeshare.plans.pipeline import gate_passed, run_pipeline
 from placeshare.quality.defects import DEFECTS
 from placeshare.sources.manifest import source_manifest
 
@@ -26,10 +24,3 @@ def test_a_run_writes_its_artifacts_and_the_gate_needs_matching_digests(golden,
                   "defects", "manifest"):
         assert list((out / "qa" / table).glob("*.parquet"))
     assert spark.read.json(str(out / "qa" / "summary")).first().figures == 53
-
-
-def test_a_run_without_its_files_is_refused(golden, spark, tmp_path):
-    with pytest.raises(FileNotFoundError):
-        run_from_files(
-            spark, {"chat": str(tmp_path / "none.csv")}, {}, golden.inputs, golden.d
-        )

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -5,7 +6,7 @@ import pytest
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import FACT_SCHEMA, typed
 from placeshare.sources import dimensions, facts, sinks
-from placeshare.sources.manifest import source_manifest
+from placeshare.sources.manifest import READ_BYTES, source_manifest
 from placeshare.sources.storage import shared_dir, written
 
 HEADER = ",".join(FACT_COLUMNS)
@@ -121,6 +122,20 @@ def test_the_manifest_compares_digests(spark, good):
     assert not source_manifest(spark, {"api": str(good)}, {}).first().matches_published_sha256
 
 
+def test_stored_bytes_are_digested_in_several_reads(spark, tmp_path):
+    packed = tmp_path / "two words.csv.gz"
+    packed.write_bytes(gzip.compress(bytes(range(256)) * 40_000, compresslevel=0))
+    empty = tmp_path / "empty.csv"
+    empty.write_bytes(b"")
+    assert packed.stat().st_size > 2 * READ_BYTES
+    found = source_manifest(spark, {"a": str(packed), "b": str(empty)}, {}).collect()
+    digest = hashlib.sha256(packed.read_bytes()).hexdigest()
+    assert sorted(tuple(r) for r in found) == [
+        ("a", "two words.csv.gz", packed.stat().st_size, digest, False),
+        ("b", "empty.csv", 0, None, False),
+    ]
+
+
 def test_artifacts_are_read_back_and_may_be_absent(spark, golden, tmp_path):
     exposure = golden.metrics["function_exposure"]
     for form in ("parquet", "csv"):
