@@ -186,7 +186,8 @@ def repeated_passages(docs: DataFrame, words: int = 50, window: int = WINDOW) ->
         long_enough.select("text", "text_hash").mapInArrow(
             partial(_starts, words=words, window=window), "text_hash long, place int, head long"), "starts",
     )
-    twice = starts.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    # as a table of its own, so that the join can split a head that very many suffixes share
+    twice = stored(starts.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "twice")
     places = stored(
         starts.join(twice, "head").groupBy("text_hash").agg(F.collect_set("place").alias("places")), "places",
     )
