@@ -1,15 +1,18 @@
 """Nearest neighbours by inner product: hierarchical navigable small-world graphs, one per shard.
 
-Vectors are spread over shards of some ``shard_rows`` by hash. A shard's nodes are put in a random
+Equal vectors are one node, which holds the smallest ids of its rows, one more than are asked for: no
+query needs others, and groups of copies do not crowd out the links to other vectors. Nodes are
+spread over shards of some ``shard_rows`` by hash. A shard's nodes are put in a random
 order and on random levels; on each level a node is linked to a diverse choice of its nearest
 among the nodes before it, and back. As a shard is bounded, those nearest are found exactly, block
 by block. Lengths are evened out by one more dimension, so that near by distance is near by inner
-product. A shard is stored as flat arrays: ids, vectors, and a table of neighbours per level.
+product. A shard is stored as flat arrays: ids, how many of them each node has, vectors, and a table
+of neighbours per level.
 
 A query goes to every shard, in blocks of queries: down the upper levels to the nearest node, then
 with a beam of ``beam`` nodes over the lowest. All scores that count are computed in double
-precision on the original vectors, and each shard's best go to one merge per query. All vectors
-are indexed; recall against brute force is in the README and in the tests.
+precision on the original vectors. The nodes found are expanded to their ids, and each shard's best
+rows go to one merge per query. All vectors are indexed; recall against brute force is in the README and in the tests.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without vec_id. Rows that are equal in id and vector count once; a row with the query's vec_id is
@@ -43,7 +46,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Record
         for dim, (at, rows) in vectors(batch["embedding"], kind).items():
             yield pa.RecordBatch.from_arrays(
                 [batch["vec_id"].take(pa.array(at)), pa.array(np.full(len(at), dim, dtype=np.int64)),
-                 pa.array([r.tobytes() for r in rows], pa.binary())],
+                 pa.array([r.tobytes() for r in rows + 0], pa.binary())],  # -0.0 + 0 is 0.0
                 names=["vec_id", "dim", "vector"],
             )
 
@@ -109,9 +112,8 @@ def layer(x: np.ndarray, links: int) -> np.ndarray:
 def _built(table: pa.Table, kind: str, links: int) -> pa.Table:
     """One shard as flat arrays; level 0 holds all nodes, each level above every ``links``-th or so."""
     dim = table["dim"][0].as_py()
-    ids = table["vec_id"].to_numpy()
-    order = np.random.default_rng(11).permutation(np.argsort(ids, kind="stable"))
-    raw = table["vector"].to_pylist()
+    ids, raw = table["ids"].to_pylist(), table["vector"].to_pylist()
+    order = np.random.default_rng(11).permutation(sorted(range(len(ids)), key=lambda i: (ids[i][0], raw[i])))
     values = np.frombuffer(b"".join(raw[i] for i in order), dtype=kind).reshape(len(ids), dim)
     scale = np.abs(values).max() or 1.0
     x = evened(values.astype(np.float64) / scale)
@@ -121,7 +123,8 @@ def _built(table: pa.Table, kind: str, links: int) -> pa.Table:
         members //= links
     rows = [np.int64([len(level) for level in levels]).tobytes(), b"".join(level.tobytes() for level in levels)]
     return pa.table({
-        "dim": [dim], "shard": table["shard"].slice(0, 1), "ids": [ids[order].tobytes()], "vectors": [values.tobytes()],
+        "dim": [dim], "shard": table["shard"].slice(0, 1), "ids": [np.int64([v for i in order for v in ids[i]]).tobytes()],
+        "held": [np.int64([len(ids[i]) for i in order]).tobytes()], "vectors": [values.tobytes()],
         "levels": [rows[0]], "links": [rows[1]],
     })
 
@@ -173,12 +176,39 @@ def search(x: np.ndarray, levels: list[np.ndarray], q: np.ndarray, beam: int) ->
     return held
 
 
+def expanded(nodes: np.ndarray, score: np.ndarray, own: np.ndarray, ids: np.ndarray, held: np.ndarray, nearest: int):
+    """Row, id and score of each row's ``nearest`` ids, by score and id, of the nodes it has (-1: none).
+
+    Node k has ``held[k]`` ids, in order and without repeats, at least ``nearest`` + 1 of them if there are as many.
+    """
+    first = np.concatenate([[0], np.cumsum(held)[:-1]])
+    low = ids[first]
+    second = ids[first + (held > 1)]
+    at = np.maximum(nodes, 0)
+    lowest = np.where(low[at] == own[:, None], second[at], low[at])
+    score = np.where((nodes < 0) | (lowest == own[:, None]), -np.inf, score)
+    order = np.lexsort((lowest, -score), axis=1)[:, :nearest]
+    score, at = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
+    row, column = np.nonzero(score > -np.inf)
+    node = at[row, column]
+    times = held[node]
+    row, value = np.repeat(row, times), np.repeat(score[row, column], times)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    other = ids[np.repeat(first[node], times) + within]
+    keep = other != own[row]
+    row, value, other = row[keep], value[keep], other[keep]
+    order = np.lexsort((other, -value, row))
+    row, value, other = row[order], value[order], other[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < nearest
+    return row[keep], other[keep], value[keep]
+
+
 def _searched(queries: pa.Table, index: pa.Table, kind: str, nearest: int, beam: int, links: int) -> pa.Table:
     found: dict[str, list] = {"query_id": [], "query": [], "vec_id": [], "score": []}
     if queries.num_rows and index.num_rows:
         dim = index["dim"][0].as_py()
         values = np.frombuffer(index["vectors"][0].as_py(), dtype=kind).reshape(-1, dim)
-        ids = np.frombuffer(index["ids"][0].as_py(), dtype=np.int64)
+        ids, held = (np.frombuffer(index[c][0].as_py(), dtype=np.int64) for c in ("ids", "held"))
         sizes = np.frombuffer(index["levels"][0].as_py(), dtype=np.int64)
         flat = np.frombuffer(index["links"][0].as_py(), dtype=np.int32).reshape(-1, 2 * links)
         levels = np.split(flat, np.cumsum(sizes)[:-1])
@@ -190,12 +220,8 @@ def _searched(queries: pa.Table, index: pa.Table, kind: str, nearest: int, beam:
             q = np.frombuffer(b"".join(raw[part]), dtype=kind).reshape(-1, dim).astype(np.float64)
             nodes = search(x, levels, (q / np.abs(q).max(axis=1, keepdims=True)).astype(np.float32), beam)
             score = np.einsum("qkd,qd->qk", values[np.maximum(nodes, 0)].astype(np.float64), q)
-            other = ids[np.maximum(nodes, 0)]
-            score[(nodes < 0) | (other == own[part][:, None])] = -np.inf
-            order = np.lexsort((other, -score), axis=1)[:, :nearest]
-            score, other = np.take_along_axis(score, order, 1), np.take_along_axis(other, order, 1)
-            row, column = np.nonzero(score > -np.inf)
-            for name, a in zip(found, (own[part][row], number[part][row], other[row, column], score[row, column])):
+            row, other, score = expanded(nodes, score, own[part], ids, held, nearest)
+            for name, a in zip(found, (own[part][row], number[part][row], other, score)):
                 found[name].append(a)
     kinds = {"query_id": np.int64, "query": np.int64, "vec_id": np.int64, "score": np.float64}
     return pa.table({k: np.concatenate(v) if v else np.zeros(0, dtype=kinds[k]) for k, v in found.items()})
@@ -211,16 +237,20 @@ def nearest_neighbours(
         usable.select(F.col("vec_id").cast("long"), "embedding")
         .mapInArrow(partial(_encoded, kind=kind), "vec_id long, dim long, vector binary"), "vectors",
     )
-    shards = rows.groupBy("dim").agg(
-        F.ceil(F.count("*") / shard_rows).alias("shards"),
-        F.ceil(F.count_if(F.col("vec_id") % every == 0) / QUERY_BLOCK).alias("blocks"),
+    # the limit on the place also holds before the shuffle, task by task
+    place = F.row_number().over(Window.partitionBy("dim", "vector").orderBy("vec_id"))
+    nodes = stored(
+        rows.withColumn("place", place).where(F.col("place") <= nearest + 1)
+        .groupBy("dim", "vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "nodes",
     )
+    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards")).join(
+        rows.groupBy("dim").agg(F.ceil(F.count_if(F.col("vec_id") % every == 0) / QUERY_BLOCK).alias("blocks")), "dim")
     index = stored(
-        rows.join(F.broadcast(shards), "dim")  # one row per length of vectors
-        .withColumn("shard", F.expr("pmod(xxhash64(vec_id, vector), shards)"))
-        .select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(
+        nodes.join(F.broadcast(shards), "dim")  # one row per length of vectors
+        .withColumn("shard", F.expr("pmod(xxhash64(vector), shards)"))
+        .select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(
             lambda shard: _built(shard, kind, links),
-            "dim long, shard long, ids binary, vectors binary, levels binary, links binary",
+            "dim long, shard long, ids binary, held binary, vectors binary, levels binary, links binary",
         ), "graphs",
     )
     asked = (

@@ -164,3 +164,22 @@ def test_nearest_neighbours_against_brute_force(spark, vectors):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, -9.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest_neighbours(few).orderBy("rank").collect()] == [(20, 1, 1, 0.5), (20, 2, 2, 0.5)]
     assert DoubleType() == nearest_neighbours(few).schema["score"].dataType
+
+def test_nearest_neighbours_among_many_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 24)).astype(np.float32).astype(float)
+    ids = [*rng.permutation(600).tolist(), *range(600, 1500)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, [*x, *([x[5]] * 900)])]
+    rows += [rows[5], (ids[6], x[7].tolist())]  # a repeated row, and an id with two vectors
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest_neighbours(table).collect()
+    rows = list({(i, tuple(v)) for i, v in rows})
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = wanted = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = np.where(ids == ids[q], -np.inf, x @ x[q])
+        best = Counter((int(ids[k]), round(float(score[k]), 6)) for k in np.lexsort((ids, -score))[:20])
+        mine = Counter((r.vec_id, round(r.score, 6)) for r in got if r.query_id == ids[q])
+        hits += sum((mine & best).values())
+        wanted += 20
+    assert len(got) == wanted and hits >= 0.95 * wanted
