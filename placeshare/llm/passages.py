@@ -13,7 +13,10 @@ every word that lies in a run of ``words`` words occurring twice or more, and no
 compared by 32-bit hashes, runs of them by 64-bit ones).
 
 Equal suffixes with equal surroundings are one row with a count, so large groups of copies do not
-gather in one task, and what is sorted is split by content. Null and short texts have no repeats.
+gather in one task, and what is sorted is split by content. First words that more than ``HOT``
+suffixes share are not sorted: the runs of ``words`` words for which such a suffix is the minimiser
+of the first ``window`` places are counted by their hash, before and after the shuffle, and those
+found twice or more are joined back. So each run is at one suffix, and no task gathers a group. Null and short texts have no repeats.
 Rows that are equal in doc_id and text are reported once (and do repeat each other); null ids are
 kept. Other columns are ignored, an empty table gives an empty result.
 """
@@ -35,6 +38,7 @@ GRAM, WINDOW = 8, 30
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SORTED_ROWS = 8192
+HOT = 4096
 BROADCAST_TEXTS = 2_000_000  # 16 MB of hashes
 
 
@@ -83,15 +87,21 @@ def _starts(batches: Iterator[pa.RecordBatch], words: int, window: int) -> Itera
         )
 
 
-SUFFIX = "doc_id long, text_hash long, place int, head long, context long, right binary, left binary"
+SUFFIX = (
+    "doc_id long, text_hash long, place int, head long, context long, right binary, left binary, most int, runs array<long>"
+)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], words: int, window: int) -> Iterator[pa.RecordBatch]:
-    """The kept suffixes with the words around them, once per task for equal surroundings."""
+    """The kept suffixes with the words around them, once per task for equal surroundings.
+
+    For hot suffixes, instead of words, the hashes of their own runs, the one furthest to the left
+    (by ``most`` words) first; those without such runs are left out.
+    """
     hasher, sure = WordHasher(lower=False), words - window + 1
     seen: set[int] = set()
     for batch in batches:
-        key, wanted = batch["text_hash"].to_numpy(), batch["places"]
+        key, wanted, many = batch["text_hash"].to_numpy(), batch["places"], batch["hot"]
         ids = batch["doc_id"].to_pylist()
         rows: list[tuple] = []
         for i, hashes, _, _ in hasher.texts(batch["text"]):
@@ -103,17 +113,30 @@ def _suffixes(batches: Iterator[pa.RecordBatch], words: int, window: int) -> Ite
             with np.errstate(over="ignore"):
                 around = (ranges.sums[high] - ranges.sums[low]) * ranges.down[low]
                 around = mixed(mixed(around) + ((at - low) << 8 | (high - at)).astype(U64)).astype(np.int64)
-            for p, a, b, head, context in zip(*(x.tolist() for x in (at, low, high, heads, around))):
-                right = left = None
+            hot = set(many[i].as_py())
+            if hot:
+                grams = ranges(np.arange(n - GRAM + 1), GRAM)
+                own = np.lib.stride_tricks.sliding_window_view(grams, window)[: n - words + 1].argmin(axis=1)
+                own += np.arange(len(own))  # the minimiser of each run; it never goes back
+                first, last = np.searchsorted(own, at), np.searchsorted(own, at, "right")
+            for k, (p, a, b, head, context) in enumerate(zip(*(x.tolist() for x in (at, low, high, heads, around)))):
+                right = left = most = found = None
+                if p in hot:
+                    if first[k] == last[k]:
+                        continue
+                    most = p - int(first[k])
                 if context not in seen:
                     seen.add(context)
-                    right, left = codes[p:b].tobytes(), codes[a:p][::-1].tobytes()
-                rows.append((ids[i], int(key[i]), p, head, context, right, left))
-        columns = list(zip(*rows)) if rows else [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    if most is None:
+                        right, left = codes[p:b].tobytes(), codes[a:p][::-1].tobytes()
+                    else:
+                        found = ranges(np.arange(first[k], last[k]), words).astype(np.int64)
+                rows.append((ids[i], int(key[i]), p, head, context, right, left, most, found))
+        columns = list(zip(*rows)) if rows else [()] * 9
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["doc_id", "text_hash", "place", "head", "context", "right", "left"],
+            names=["doc_id", "text_hash", "place", "head", "context", "right", "left", "most", "runs"],
         )
 
 
@@ -175,7 +198,7 @@ def _whole_runs(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def repeated_passages(docs: DataFrame, words: int = 50, window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = 50, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``start_word``, ``end_word``, ``n_words``, ``other_doc`` of every repeated passage.
 
     Words are counted from 0, the end is one past the last; ``other_doc`` has (part of) it, too.
@@ -187,24 +210,42 @@ def repeated_passages(docs: DataFrame, words: int = 50, window: int = WINDOW) ->
             partial(_starts, words=words, window=window), "text_hash long, place int, head long"), "starts",
     )
     # as a table of its own, so that the join can split a head that very many suffixes share
-    twice = stored(starts.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "twice")
+    twice = stored(starts.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     places = stored(
-        starts.join(twice, "head").groupBy("text_hash").agg(F.collect_set("place").alias("places")), "places",
+        starts.join(twice, "head").groupBy("text_hash").agg(
+            F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("n") > hot, F.col("place"))).alias("hot"),
+        ), "places",
     )
     if places.count() <= BROADCAST_TEXTS:  # else the join itself drops the texts without places
         long_enough = long_enough.join(F.broadcast(places.select("text_hash")), "text_hash", "left_semi")
     rows = stored(
-        long_enough.join(places, "text_hash").select("doc_id", "text_hash", "text", "places")
+        long_enough.join(places, "text_hash").select("doc_id", "text_hash", "text", "places", "hot")
         .mapInArrow(partial(_suffixes, words=words, window=window), SUFFIX), "suffixes",
     )
-    held = rows.groupBy("context").agg(
-        F.first("head").alias("head"), F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("low"),
-        F.max(F.coalesce("doc_id", F.lit(-1))).alias("high"), F.max("right").alias("right"), F.max("left").alias("left"),
+    counted = [
+        F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("low"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("high"),
+    ]
+    held = rows.where("most is null").groupBy("context").agg(
+        F.first("head").alias("head"), *counted, F.max("right").alias("right"), F.max("left").alias("left"),
     )
-    matches = (
+    sorted_matches = (
         held.repartition("head").sortWithinPartitions("head", "right", "left")
         .mapInArrow(partial(_compared, words=words, window=window), "context long, left long, right long, low long, high long")
     )
+    around = stored(
+        rows.where("most is not null").groupBy("context").agg(*counted, F.max("most").alias("most"), F.max("runs").alias("runs")), "around",
+    )
+    each = around.select("context", "n", "low", "high", "most", F.posexplode("runs").alias("at", "run"))
+    # a table of its own, as above: a run that very many suffixes have can be split in the join
+    repeated = stored(
+        each.groupBy("run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where("n > 1").select("run", "low", "high"), "repeated",
+    )
+    left = F.col("most") - F.col("at")
+    matches = sorted_matches.unionByName(
+        each.select("context", "run", left.cast("long").alias("left")).join(repeated, "run").groupBy("context").agg(
+            F.max("left").alias("left"), (words - F.min("left")).alias("right"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
     spans = rows.select("doc_id", "text_hash", "place", "context").join(matches, "context").select(
         "doc_id", "text_hash", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"),
         F.when(F.col("low") != F.coalesce("doc_id", F.lit(-1)), F.col("low")).otherwise(F.col("high")).alias("other"),

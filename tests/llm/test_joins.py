@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
+from placeshare.llm import passages
 from placeshare.llm.components import components
 from placeshare.llm.jaccard import one_of_each, overlaps, similar_sets
 from placeshare.llm.nearvectors import near_vectors
@@ -110,6 +111,39 @@ def test_repeated_passages_equal_brute_force(spark, odd_docs, no_docs):
     assert repeated_passages(no_docs).count() == 0
 
 
+def test_no_task_gathers_the_suffixes_of_a_common_line(spark, odd_docs):
+    rng = random.Random(9)
+    lines = [prose(rng, n) for n in (30, 45, 52, 90)]
+    rows = [(i, " ".join([prose(rng, rng.randrange(60)), rng.choice(lines), prose(rng, rng.randrange(60)), rng.choice(lines), prose(rng, 4)]))
+            for i in range(80)]
+    rows += [(80 + i, rows[i][1]) for i in range(5)] + [(0, rows[0][1]), (90, None), (91, f"{lines[3]} {lines[3]}")]
+    docs = frame(spark, rows)
+    want = spans_of(rows, 50)
+    for hot in (1, 10, 10_000):
+        got = repeated_passages(docs, hot=hot).collect()
+        assert {(r.doc_id, r.start_word, r.end_word) for r in got} == want
+        assert len(got) == len(want)
+    columns = ("doc_id", "start_word", "end_word")
+    assert repeated_passages(odd_docs, hot=1).select(*columns).exceptAll(repeated_passages(odd_docs).select(*columns)).count() == 0
+    assert {r.doc_id for r in repeated_passages(odd_docs, hot=1).collect()} == {1, 2, 3, None}
+
+    sizes, compared = spark.sparkContext.accumulator(0), passages._compared
+
+    def counting(batches, words, window):
+        for batch in batches:
+            sizes.add(batch.num_rows)
+            yield from compared(iter([batch]), words, window)
+
+    passages._compared = counting
+    try:
+        repeated_passages(docs, hot=1).count()
+        assert sizes.value == 0  # every head is hot, and none is gathered
+        repeated_passages(docs).count()
+        assert sizes.value > 0
+    finally:
+        passages._compared = compared
+
+
 VECTORS = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())), StructField("label", LongType())])
 
 
