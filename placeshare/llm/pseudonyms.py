@@ -4,7 +4,9 @@ A keyed Feistel network permutes the values of each format, so a value is replac
 the same format, equal values stay equal in all documents, and the key's holder can go back:
 
 - payment card numbers (13 to 19 digits, valid by the Luhn sum): the first digit stays, the others
-  are permuted, and the last is set so that the sum is right again
+  are permuted, and the last is set so that the sum is right again. In a run of numbers between
+  single spaces or hyphens, undivided numbers and those in groups of 4-4-4-4 or 4-6-5 come first,
+  then the longest valid one that begins at each of the other numbers
 - social security numbers with a valid area: permuted among such numbers
 - phone numbers in international form: the country code stays
 - IPv4 addresses: permuted among those that begin with 1 to 254, but not 127; others stay
@@ -14,7 +16,8 @@ the same format, equal values stay equal in all documents, and the key's holder
 - e-mail addresses: the local part is permuted, letters among letters, digits among digits
 - access keys and secrets after an equals sign or colon: as local parts
 
-Numbers that fail validation stay. Everything runs within one scan of the text: matches are found
+Numbers that fail validation stay. Two readings of one run (five groups of four digits, or unusual
+groups) are told apart by the sum, so there another reading can win on the way back. Everything runs within one scan of the text: matches are found
 by one pattern, and the text between them is put back as it was. There is no shuffle and no state.
 
 Null texts stay null with no matches, empty texts stay empty. Repeated rows are treated alike.
@@ -34,7 +37,9 @@ SECRET = r"(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?[0-9A-Za-
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
 IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: a whole run of numbers, in which ``_cards`` finds the cards; other personal data ends it
+CARD = rf"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{DATE}|{IP}|{SSN})[0-9]++)*+"
+USUAL = {4: r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -]?$", 3: r"^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}[ -]?$"}
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
 KINDS = {
     "email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD,
@@ -132,15 +137,52 @@ def _spread(shape: Column, digits: Column) -> Column:
 
 
 def _card(key: Column, m: Column, backwards: bool) -> Column:
+    """A valid card number with its separators, permuted."""
     def changed(d):
         body = permuted_text(key, "card", F.substr(d, F.lit(2), F.length(d) - 2), backwards)
         payload = lambda b: F.concat(F.substr(d, F.lit(1), F.lit(1)), b)
-        valid = luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))
-        return F.when(valid, _spread(m, _let(payload(body), lambda p: F.concat(p, luhn_digit(p))))).otherwise(m)
+        return _spread(m, _let(payload(body), lambda p: F.concat(p, luhn_digit(p))))
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), changed)
 
 
+def _is_card(m: Column) -> Column:
+    valid = lambda d: F.when(F.length(d).between(13, 19), luhn_digit(F.left(d, F.length(d) - 1)) == F.right(d, F.lit(1)))
+    return F.coalesce(_let(F.regexp_replace(m, "[^0-9]", ""), valid), F.lit(False))
+
+
+def _cards(key: Column, m: Column, backwards: bool) -> Column:
+    """A run of numbers with its cards permuted: a struct of the ``text`` and ``n``, how many changed."""
+    def within(cells):
+        window = lambda i, k: F.concat_ws("", F.slice(cells, i, k))
+
+        def usual(i):
+            many = [F.when(_let(window(i, F.lit(k)), lambda w: w.rlike(p) & _is_card(w)), k) for k, p in USUAL.items()]  # noqa: B023
+            return F.coalesce(F.when(_is_card(cells[i - 1]), 1), *many, F.lit(0))
+
+        def resolved(known):
+            def longest(i):
+                sizes = F.sequence(F.lit(2), F.least(F.lit(19), F.size(cells) - i + 1))
+                fits = lambda k: F.forall(F.slice(known, i, k), lambda u: u == 0) & _is_card(window(i, k))
+                return F.when(i < F.size(cells), F.coalesce(F.array_max(F.filter(sizes, fits)), F.lit(0))).otherwise(0)
+
+            def step(s, i):
+                size = F.when(known[i - 1] > 0, known[i - 1]).otherwise(longest(i))
+                put = lambda old, new, k: F.struct(
+                    (i + k).cast("int").alias("next"), F.concat(s["text"], new).alias("text"),
+                    (s["n"] + (old != new).cast("int")).alias("n"),
+                )
+                return F.when(i < s["next"], s).otherwise(_let(size, lambda k: F.when(k == 0, put(cells[i - 1], cells[i - 1], F.lit(1))).otherwise(
+                    _let(window(i, k), lambda w: _let(_card(key, w, backwards), lambda new: put(w, new, k))))))
+
+            start = F.struct(F.lit(1).alias("next"), F.lit("").alias("text"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(cells)), start, step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+        return _let(F.transform(F.sequence(F.lit(1), F.size(cells)), usual), resolved)
+
+    return _let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), within)
+
+
 def _ip(key: Column, m: Column, backwards: bool) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("int"))
 
@@ -213,20 +255,22 @@ def _tail(key: Column, tag: str, m: Column, head: str, backwards: bool) -> Colum
 
 
 def pseudonym(key: Column, m: Column, backwards: bool = False) -> Column:
-    """What a match of ``FOUND`` is replaced by."""
+    """What a match of ``FOUND`` is replaced by: a struct of the ``text`` and ``n``, how many values changed."""
     is_a = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     local = F.substring_index(m, "@", 1)
-    return (
+    other = (
         F.when(is_a("email"), F.concat(permuted_text(key, "email", local, backwards), F.substr(m, F.length(local) + 1, F.length(m))))
         .when(is_a("access_key"), _tail(key, "key", m, "AKIA", backwards))
         .when(is_a("secret"), _tail(key, "secret", m, r"[A-Za-z_-]+\s*[=:]\s*[\"']?", backwards))
         .when(is_a("date"), _date(key, m, backwards))
         .when(is_a("ip"), _ip(key, m, backwards))
         .when(is_a("ssn"), _ssn(key, m, backwards))
-        .when(is_a("card"), _card(key, m, backwards))
         .when(is_a("phone"), _tail(key, "phone", m, r"\+[0-9]{1,3}(?![0-9])", backwards))
         .otherwise(m)
     )
+    one = _let(other, lambda new: F.struct(new.alias("text"), (new != m).cast("int").alias("n")))
+    numbers = m.rlike("^[0-9 -]+$") & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13)  # more than a date or SSN has
+    return F.when(numbers, _cards(key, m, backwards)).otherwise(one)
 
 
 def pseudonymised(docs: DataFrame, key: str, backwards: bool = False, count: str | None = None) -> DataFrame:
@@ -239,9 +283,9 @@ def pseudonymised(docs: DataFrame, key: str, backwards: bool = False, count: str
         hidden = [f"_{name}" for name in hidden]
     new = F.transform(hidden[0], lambda m: pseudonym(k, m, backwards))
     out = docs.withColumn(hidden[0], found).withColumn(hidden[1], F.when(F.size(hidden[0]) > 0, new))
-    pieces = F.zip_with(between, F.array_append(F.col(hidden[1]), F.lit("")), lambda a, b: F.concat(a, b))
+    pieces = F.zip_with(between, F.array_append(F.col(f"{hidden[1]}.text"), F.lit("")), lambda a, b: F.concat(a, b))
     text = F.when(F.size(hidden[0]) > 0, F.concat_ws("", pieces)).otherwise(F.col("text"))
-    changed = F.size(F.filter(F.arrays_zip(F.col(hidden[0]).alias("old"), F.col(hidden[1]).alias("new")), lambda z: z["old"] != z["new"]))
+    changed = F.aggregate(f"{hidden[1]}.n", F.lit(0), lambda s, n: s + n)
     named = []
     for name in docs.columns:
         named.append(

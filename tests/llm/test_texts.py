@@ -143,6 +143,30 @@ def test_pseudonyms_keep_formats_and_links_and_go_back(spark):
     assert pseudonyms.pseudonymised(docs, "other").orderBy("doc_id").first().text != new[0]
 
 
+def test_cards_next_to_other_numbers(spark):
+    card, amex, mail = "4111111111111111", "378282246310005", "a.b@example.com"
+    four, odd = "4111 1111 1111 1111", "411111 1111 111111"
+    shown = {  # text -> how many values change
+        f"{four} 12/26": 1, f"{card} 123": 1, f"12 {card}": 1, f"{card} 5500000000000004": 2, f"7 {four} 12": 1,
+        f"12 34 {four} 1": 1, f"3782-822463-10005 1234 {card}": 2, f"{card} 123-45-6789": 2, f"{card} 2024-02-28": 2,
+        f"{card} 10.1.2.3": 2, f"{card} 12{mail}": 2, f"{odd} 12": 1, f"1234 {four.replace(' ', '-')} 99-9 {amex}": 2,
+        f"{card} 123-45-6789-x": 1, "1 2 3 4 5 6 7 8 9 10 11": 0,
+    }
+    docs = frame(spark, [(i, t) for i, t in enumerate([card, amex, *shown])])
+    rows = [(r.text, r.n) for r in pseudonyms.pseudonymised(docs, "k", count="n").orderBy("doc_id").collect()]
+    new, new_amex = rows[0][0], rows[1][0]
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    for (old, n), (text, got) in zip(shown.items(), rows[2:]):
+        assert got == n and (len(text) == len(old) or "10.1.2.3" in old), (old, text)
+        for value, other in ((card, new), (amex, new_amex)):
+            assert digits(old).count(value) == digits(text).count(other) and value not in digits(text), (old, text)
+        assert not any(v in text for v in ("123-45-6789 ", "2024-02-28", "10.1.2.3", mail)), text
+    usual = frame(spark, [(0, f"{card} 123 7 {four} 12")])
+    assert pseudonyms.pseudonymised(pseudonyms.pseudonymised(usual, "k"), "k", backwards=True).first().text == usual.first().text
+    many = " ".join(str(i) for i in range(3000))
+    assert len(pseudonyms.pseudonymised(frame(spark, [(0, many)]), "k").first().text) == len(many)
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 11).select(
         pseudonyms.permuted_pair(F.lit("k"), "t", F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11).alias("p"))
