@@ -277,7 +277,7 @@ def one_of_each(docs: DataFrame, size: int = 3, threshold: str = "0.9") -> DataF
     kept = sets.where("group is not null").groupBy("group").agg(F.min(order).alias("k")).select(
         F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    left = docs.join(kept, same, "left").where(F.col("kept_hash").isNotNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    left = left.select(*(docs[c] for c in docs.columns))
+    left = docs.join(kept, same, "left_semi")
+    without = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     repeated = sets.where("group is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
-    return left.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else left
+    return (left.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else left).union(without)

@@ -85,6 +85,13 @@ def test_similar_sets_of_odd_documents(odd_docs, no_docs):
     assert similar_sets(no_docs).count() == 0 == one_of_each(no_docs).count()
 
 
+def test_rows_without_words_stay_whatever_else_is_repeated(spark):
+    rows = [(None, None), (None, None), (1, ""), (1, ""), (2, " \n"), (3, "a b c d"), (4, "A b c d")]
+    for more in ([], [(3, "a b c d")]):
+        kept = [(r.doc_id, r.text) for r in one_of_each(frame(spark, rows + more)).collect()]
+        assert Counter(kept) == Counter(rows[:6])
+
+
 def spans_of(rows, words):
     counts = Counter(tuple(w[i: i + words]) for _, t in rows for w in [(t or "").split()] for i in range(len(w) - words + 1))
     out = set()
