@@ -12,7 +12,7 @@ the same format, equal values stay equal in all documents, and the key's holder
 - IPv4 addresses: permuted among those that begin with 1 to 254, but not 127; others stay
 - dates (year-month-day, or day and month before the year with / or .; 1700 to 2099): permuted
   among the days of these 400 years. Slashed dates count day first; where only month first makes a
-  date, it stays such a date (after the 28th only the year moves, and a February 29 stays)
+  date, it stays such a date (after the 28th only the year moves, on a February 29 among leap years)
 - e-mail addresses: the local part is permuted, letters among letters, digits among digits
 - access keys and secrets after an equals sign or colon: as local parts
 
@@ -48,6 +48,7 @@ KINDS = {
 FOUND = "(?<![0-9A-Za-z])(?:" + "|".join(KINDS.values()) + ")"
 FIRST_DAY, DAYS_A, DAYS_B = "1700-01-01", 189, 773  # 189 * 773 = 146,097 days, 400 years
 AREAS, SERIALS = 898, 99 * 9999
+LEAP_YEARS = [y for y in range(1700, 2100) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
 NETWORKS = 253  # first numbers 1 to 254 without 127
 
 
@@ -235,8 +236,14 @@ def _date(key: Column, m: Column, backwards: bool) -> Column:
         usual = permuted_pair(key, "month first", year, month * 16 + day - 13, 400, 192, backwards)
         late = permuted_pair(key, "month first", F.floor(year / 20), year % 20, 20, 20, backwards)
         two = lambda v: F.lpad(v.cast("string"), 2, "0")
+        years = F.array(*map(F.lit, LEAP_YEARS))
+        dealt = F.transform(F.array_sort(F.transform(years, lambda y: F.struct(
+            F.sha2(F.concat_ws("|", key, F.lit("leap year"), y.cast("string")), 256).alias("h"), y.alias("y")))), lambda s: s["y"])
+        old, new = (dealt, years) if backwards else (years, dealt)
+        leap = F.try_element_at(new, F.array_position(old, F.year(d)).cast("int"))
         return (
-            F.when(~year.between(0, 399) | ((month == 1) & (day == 29)), m)
+            F.when(~year.between(0, 399), m)
+            .when((month == 1) & (day == 29), F.concat(F.left(m, F.lit(6)), leap.cast("string")))
             .when(day > 28, _let(late, lambda p: F.concat(F.left(m, F.lit(6)), (p["x"] * 20 + p["y"] + 1700).cast("string"))))
             .otherwise(_let(usual, lambda p: F.concat_ws(
                 "/", two(F.floor(p["y"] / 16) + 1), two(p["y"] % 16 + 13), (p["x"] + 1700).cast("string"))))

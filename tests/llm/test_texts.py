@@ -167,6 +167,16 @@ def test_cards_next_to_other_numbers(spark):
     assert len(pseudonyms.pseudonymised(frame(spark, [(0, many)]), "k").first().text) == len(many)
 
 
+def test_month_first_leap_days_are_permuted(spark):
+    leap = [y for y in range(1700, 2100) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+    docs = frame(spark, [(y, f"born 02/29/{y}.") for y in leap] + [(1, "02/29/1900 02/29/2100")])
+    out = pseudonyms.pseudonymised(docs, "k")
+    new = {r.doc_id: r.text for r in out.collect()}
+    assert new.pop(1) == "02/29/1900 02/29/2100"
+    assert sorted(new.values()) == [f"born 02/29/{y}." for y in leap] and sum(str(y) in t for y, t in new.items()) < 10
+    assert pseudonyms.pseudonymised(out, "k", backwards=True).exceptAll(docs).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 11).select(
         pseudonyms.permuted_pair(F.lit("k"), "t", F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11).alias("p"))
