@@ -126,13 +126,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.R
         left, right = [], []
         for w in np.unique(width):
             narrow = np.flatnonzero(width == w)
-            wide = np.flatnonzero(width == 2 * w)
             x = np.frombuffer(b"".join(raw[i] for i in narrow), dtype=U64).reshape(len(narrow), -1)
-            y = x
-            if len(wide):  # the wider bitmap, folded once
-                z = np.frombuffer(b"".join(raw[i] for i in wide), dtype=U64).reshape(len(wide), 2, -1)
-                y = np.concatenate([x, z[:, 0] ^ z[:, 1]])
-            other = np.concatenate([narrow, wide])
+            folded, others = [x], [narrow]
+            for v in np.unique(width[width > w]):  # wider bitmaps, folded, if such sizes can link
+                wide = np.flatnonzero(width == v)
+                if t.denominator * n[narrow].max() >= t.numerator * n[wide].min():
+                    z = np.frombuffer(b"".join(raw[i] for i in wide), dtype=U64).reshape(len(wide), v // w, -1)
+                    folded.append(np.bitwise_xor.reduce(z, axis=1))
+                    others.append(wide)
+            y, other = np.concatenate(folded), np.concatenate(others)
             step = max(1, 2_000_000 // (len(y) * x.shape[1]))
             for a in range(0, len(x), step):
                 apart = np.bitwise_count(x[a: a + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)

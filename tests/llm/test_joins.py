@@ -65,6 +65,14 @@ def test_similar_sets_equal_brute_force(spark, size, num, den):
     assert kept == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("t, sizes", [("0.5", (257, 514)), ("0.3", (130, 433)), ("0.9", (900, 1000))])
+def test_sets_of_very_different_sizes_link(spark, t, sizes):
+    words = [f"w{i}" for i in range(sizes[1])]
+    rows = [(1, " ".join(words)), (2, " ".join(words[: sizes[0]])), (3, " ".join(words[: int(sizes[0] * float(t)) - 2]))]
+    got = {r.doc_id: r.component_id for r in similar_sets(frame(spark, rows), 1, t).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_overlaps_are_a_matrix_product():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (5, 4000, 6000, 6000, 1)]
