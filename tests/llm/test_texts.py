@@ -249,6 +249,49 @@ def test_cross_parsing_equals_a_plain_parser():
     assert parser.phrases(known, np.array([0]), np.array([len(known)]))[0, 0] == 1
 
 
+def test_the_pipelines_rows_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(900, None), (901, ""), (901, "")]
+    for g in range(25):
+        base = prose(rng, rng.randrange(8, 120)).split()
+        for k in range(rng.randrange(1, 6)):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(50)}"
+            rows.append((10 * g + k, " ".join(words), "en", f"s{g % 3}"))
+    rows.append(rows[-1])
+    sets = {}
+    for r in rows:
+        words = (r[1] or "").lower().split()
+        if words:
+            sets[r[0]] = {tuple(words[i: i + 5]) for i in range(max(1, len(words) - 4))}
+    low = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    while any(low[a] != low[b] for a, b in near):
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["near duplicates"](spark, frame(spark, rows), SF).cache()
+    assert sorted(r.doc_id for r in single.collect()) == sorted([*set(low.values()), 900, 901, 901])
+    text = {r[0]: r[1] for r in rows}
+    assert {r.doc_id: r.text for r in single.collect()} == {i: text[i] for i in [*set(low.values()), 900, 901]}
+
+    mix = stages["mixing"](spark, single, SF).cache()
+    copies = {r.doc_id: r.copies for r in mixing.mixed(single).where("size > 0").collect()}
+    got = Counter((r.doc_id, r.text) for r in mix.collect())
+    assert got == Counter({(i, text[i]): n for i, n in copies.items() if n})
+
+    model, wanted = Tokenizer.from_file(PATH), Counter()
+    for (doc, t), n in got.items():
+        ids = np.array(model.encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
+        for piece, a in enumerate(range(0, len(ids), 4096)):
+            wanted[doc, piece, a, len(ids[a: a + 4096]), zlib.crc32(ids[a: a + 4096].tobytes())] += n
+    rows = stages["packing"](spark, mix, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    single.unpersist()
+    mix.unpersist()
+
+
 def test_the_pipeline_keeps_what_each_stage_should(spark, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     done = [docs]
