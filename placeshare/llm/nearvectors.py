@@ -6,7 +6,7 @@ pair within a bucket is checked by its cosine in double precision. A pair that m
 tables counts in the first one only. Defaults: a pair at cosine 0.9 meets in one table or more with
 probability 0.95, one at 0.98 with more than 0.9999; more tables raise both.
 
-Equal vectors are one node with a weight before anything is hashed, so copies are not multiplied
+Usable vectors that are equal are one node with a weight before anything is hashed, so copies are not multiplied
 out. Buckets are cut into parts, and pairs of parts are multiplied as matrices in tiles; a tile
 writes sums of links and a spanning forest, never pairs, so no bucket needs a cap.
 
@@ -125,9 +125,15 @@ def near_vectors(
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row (``vec_id``, ``embedding``)."""
     kind = "<f4" if isinstance(table.schema["embedding"].dataType.elementType, FloatType) else "<f8"
-    rows = table.select("vec_id", "embedding", F.xxhash64("embedding").alias("node"))
-    distinct = rows.where("embedding is not null").groupBy("node").agg(
-        F.first("embedding").alias("embedding"), F.count("*").alias("weight"), F.min("vec_id").alias("low"),
+    usable = F.expr(
+        "embedding is not null and forall(embedding, e -> e is not null and abs(e) < double('inf')) and exists(embedding, e -> e <> 0)")
+    # two hashes of vectors without nulls: 128 bits tell them apart; others get a key of their own that no node has
+    key = [F.when(usable, F.xxhash64(F.lit(seed), "embedding")).otherwise(F.xxhash64(F.lit(seed + 2), "vec_id")) for seed in (1, 2)]
+    rows = table.select("vec_id", "embedding", usable.alias("usable"), key[0].alias("h"), key[1].alias("k"))
+    distinct = stored(
+        rows.where("usable").groupBy("h", "k").agg(
+            F.first("embedding").alias("embedding"), F.count("*").alias("weight"), F.min("vec_id").alias("low"),
+        ).withColumn("node", F.monotonically_increasing_id()), "distinct",
     )
     hashed = partial(_hashed, kind=kind, tables=tables, projections=projections, width=width)
     nodes = stored(
@@ -160,7 +166,8 @@ def near_vectors(
         ), "result",
     )
     component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "node").join(result, "node", "left").select(
+    placed = distinct.select("h", "k", "node").join(result, "node").drop("node")
+    return rows.select("vec_id", "h", "k").join(placed, ["h", "k"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         component.eqNullSafe(F.col("vec_id")).alias("kept"),
     )

@@ -232,3 +232,13 @@ def test_nearest_neighbours_among_many_copies(spark):
         hits += sum((mine & best).values())
         wanted += 20
     assert len(got) == wanted and hits >= 0.95 * wanted
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_vectors_that_differ_by_nulls_only_are_not_one(spark, turn):
+    kind = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType()))])
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0, None]), (3, [None, 1.0, 2.0]), (4, [1.0, 2.0]), (5, None), (6, []), (7, [0.0, 0.0]),
+            (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (10, [2.0, 4.0]), (11, [1.0, 2.0, 0.0]), (None, None), (None, [1.0, 2.0])]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows[::turn], kind)).collect()}
+    linked = {(i, 3, 1, i == 1) for i in (1, 4, 10)} | {(None, 3, 1, False)}
+    assert got == linked | {(i, 0, i, True) for i in (2, 3, 5, 6, 7, 8, 9, 11)} | {(None, 0, None, True)}
