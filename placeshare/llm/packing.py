@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -64,10 +65,11 @@ class Tokeniser:
     @staticmethod
     def split(word: str) -> tuple[str, str]:
         stem = word.rstrip(AFTER)
-        if stem and not stem[-1].isalpha():
-            return word, ""
         low = stem.lower()
-        return (low if low.isascii() or LATIN(low) else stem), word[len(stem):]
+        if low.isascii() or LATIN(low):
+            return (word, "") if stem and not low[-1].isalpha() else (low, word[len(stem):])
+        # lower case and normal form can end in a mark where the letter was, and marks join the signs after them
+        return (stem, word[len(stem):]) if normalize("NFC", stem).lower()[-1].isalpha() else (word, "")
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.words) > REMEMBERED:
@@ -111,7 +113,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations of ``sizes`` and how often to use each (rounded down), by column generation."""
+    """Configurations of ``sizes`` and how often to use each (rounded down), by column generation.
+
+    The number of rounds is bounded; a plan that ends there is as valid, but may take more sequences.
+    """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     for _ in range(40 * k):
