@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from placeshare.llm.common import WORD, stored
@@ -53,6 +54,17 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     )
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of whole rows in which nulls count, too: a hash of columns alone passes over them."""
+    parts = []
+    for field in docs.schema:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        parts += [value.isNull(), value]
+    return F.xxhash64(*parts)
+
+
 def _uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0 ** -53)
 
@@ -163,14 +175,17 @@ def _choices(done: Column, rows: DataFrame) -> DataFrame:
     )
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mixed(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17,
 ) -> DataFrame:
     """One row per row of ``docs``: ``row_hash``, ``doc_id``, ``source``, ``size``, ``rep``, ``copies``, ``source_size``, ``target``."""
     rows = stored(
         docs.select(
-            F.xxhash64(*docs.columns).alias("row_hash"), "doc_id", "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            row_hash(docs).alias("row_hash"), "doc_id", "source", _size().alias("size"),
         ).groupBy(*KEY).agg(F.count("*").alias("m")), "sizes",
     )
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
@@ -224,17 +239,17 @@ def mixed(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table itself: every row of ``docs`` as often as it is taken, with its columns."""
+    same = ["row_hash", "size"]
     taken = stored(
-        mixed(docs, **options).groupBy("row_hash").agg(F.count("*").alias("m"), F.sum("copies").alias("copies"))
-        .where("copies > 0"), "taken",
+        mixed(docs, **options).groupBy(*same).agg(F.count("*").alias("m"), F.sum("copies").alias("copies")).where("copies > 0"), "taken",
     )
-    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*docs.columns).alias("row_hash"))
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row_hash(docs).alias("row_hash"), _size().alias("size"))
     each = (
-        hashed.join(taken.where("copies >= m"), "row_hash")
+        hashed.join(taken.where("copies >= m"), same)
         .withColumn("copy", F.explode(F.expr("sequence(1L, copies div m)"))).select("doc.*")
     )
     uneven = taken.where("copies % m > 0")
     if uneven.limit(1).count():  # equal rows of which some are taken once more
-        once = hashed.join(uneven, "row_hash").groupBy("doc").agg(F.first(F.expr("copies % m")).alias("more"))
+        once = hashed.join(uneven, same).groupBy("doc").agg(F.first(F.expr("copies % m")).alias("more"))
         each = each.unionByName(once.withColumn("copy", F.explode(F.expr("sequence(1L, more)"))).select("doc.*"))
     return each
