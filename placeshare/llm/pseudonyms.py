@@ -3,10 +3,9 @@
 A keyed Feistel network permutes the values of each format, so a value is replaced by another of
 the same format, equal values stay equal in all documents, and the key's holder can go back:
 
-- payment card numbers (13 to 19 digits, valid by the Luhn sum): the first digit stays, the others
-  are permuted, and the last is set so that the sum is right again. In a run of numbers between
-  single spaces or hyphens, undivided numbers and those in groups of 4-4-4-4 or 4-6-5 come first,
-  then the longest valid one that begins at each of the other numbers
+- payment card numbers (an issuer's first digits and length, undivided or in usual groups between single
+  spaces or hyphens, and valid by the Luhn sum): the issuer's digits stay, the others are permuted,
+  and the last is set so that the sum is right again. In a run of numbers, the first card from the left counts
 - social security numbers with a valid area: permuted among such numbers
 - phone numbers in international form: the country code stays
 - IPv4 addresses: permuted among those that begin with 1 to 254, but not 127; others stay
@@ -16,9 +15,11 @@ the same format, equal values stay equal in all documents, and the key's holder
 - e-mail addresses: the local part is permuted, letters among letters, digits among digits
 - access keys and secrets after an equals sign or colon: as local parts
 
-Numbers that fail validation stay. Two readings of one run (five groups of four digits, or unusual
-groups) are told apart by the sum, so there another reading can win on the way back. Everything runs within one scan of the text: matches are found
-by one pattern, and the text between them is put back as it was. There is no shuffle and no state.
+Numbers that fail validation stay. Two readings of one run (five groups of four digits) are told
+apart by the sum, so there another reading can win on the way back. Everything runs within one scan of
+the text: matches are found by one pattern, and the text between them is put back as it was. There is no
+shuffle and no state. Repeats in the pattern are of one class of signs, possessive or bounded by what
+the format allows (64 signs of a local part, 253 of a domain), so no text recurses or takes quadratic time.
 
 Null texts stay null with no matches, empty texts stay empty. Repeated rows are treated alike.
 All columns are kept; only ``text`` changes, and ``n_chars``, if there, is set to its new length.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 #: fixed values: the formats that are recognised
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-][A-Za-z0-9.-]{0,251}\.[A-Za-z]{2,63}"
 ACCESS_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?[0-9A-Za-z_\-]{12,}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
@@ -39,7 +40,15 @@ IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: a whole run of numbers, in which ``_cards`` finds the cards; other personal data ends it
 CARD = rf"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{DATE}|{IP}|{SSN})[0-9]++)*+"
-USUAL = {4: r"^[0-9]{4}(?:[ -][0-9]{4}){3}[ -]?$", 3: r"^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}[ -]?$"}
+#: groups of digits, and first digits by issuer with the lengths of whole numbers
+GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (6, 4, 6), (4, 4, 5), (4, 3, 3, 3), (4, 4, 4, 4, 3))
+ISSUERS = (
+    ("4", "13|16|19"), ("5[1-5]|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720", "16"), ("3[47]", "15"),
+    ("30[0-5]|36|38|39", "14|16|19"), ("352[89]|35[3-8][0-9]", "16|17|18|19"), ("6011|64[4-9]|65|62", "16|17|18|19"),
+    ("5[0678]|63|67", "13|14|15|16|17|18|19"),
+)
+ISSUED = "^(?:" + "|".join(f"(?=(?:{'|'.join(f'.{{{n}}}' for n in lengths.split('|'))})$)(?:{first})" for first, lengths in ISSUERS) + ")"
+BLOCK = 512
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
 KINDS = {
     "email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD,
@@ -90,16 +99,19 @@ def permuted_text(key: Column, tag: str, text: Column, backwards: bool = False)
     def shifted(part, other, turn):
         digest = F.sha2(F.concat_ws("|", key, F.lit(tag), turn.cast("string"), F.length(part).cast("string"), other), 256)
 
-        def char(c, i):
-            base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
-            radix = F.when(base == 48, 10).otherwise(26)
-            by = F.conv(F.substr(digest, F.pmod(i * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
-            by = by + F.floor(i / 20).cast("int") * 7
-            return F.when(base.isNull(), c).otherwise(
-                F.chr((base + F.pmod(F.ascii(c) - base + sign * F.pmod(by, radix), radix)).cast("long"))
-            )
+        def with_(digest):
+            def char(c, i):
+                base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
+                radix = F.when(base == 48, 10).otherwise(26)
+                by = F.conv(F.substr(digest, F.pmod(i * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
+                by = by + F.floor(i / 20).cast("int") * 7
+                return F.when(base.isNull(), c).otherwise(
+                    F.chr((base + F.pmod(F.ascii(c) - base + sign * F.pmod(by, radix), radix)).cast("long"))
+                )
 
-        return F.concat_ws("", F.transform(F.split(part, ""), char))
+            return F.concat_ws("", F.transform(F.split(part, ""), char))
+
+        return _let(digest, with_)  # once, not for each sign
 
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(
@@ -140,46 +152,61 @@ def _spread(shape: Column, digits: Column) -> Column:
 def _card(key: Column, m: Column, backwards: bool) -> Column:
     """A valid card number with its separators, permuted."""
     def changed(d):
-        body = permuted_text(key, "card", F.substr(d, F.lit(2), F.length(d) - 2), backwards)
-        payload = lambda b: F.concat(F.substr(d, F.lit(1), F.lit(1)), b)
-        return _spread(m, _let(payload(body), lambda p: F.concat(p, luhn_digit(p))))
+        def of(issuer):
+            body = permuted_text(key, "card", F.substr(d, F.length(issuer) + 1, F.length(d) - F.length(issuer) - 1), backwards)
+            return _spread(m, _let(F.concat(issuer, body), lambda p: F.concat(p, luhn_digit(p))))
+
+        return _let(F.regexp_extract(d, ISSUED, 0), of)
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), changed)
 
 
 def _is_card(m: Column) -> Column:
-    valid = lambda d: F.when(F.length(d).between(13, 19), luhn_digit(F.left(d, F.length(d) - 1)) == F.right(d, F.lit(1)))
+    valid = lambda d: d.rlike(ISSUED) & (luhn_digit(F.left(d, F.length(d) - 1)) == F.right(d, F.lit(1)))
     return F.coalesce(_let(F.regexp_replace(m, "[^0-9]", ""), valid), F.lit(False))
 
 
 def _cards(key: Column, m: Column, backwards: bool) -> Column:
     """A run of numbers with its cards permuted: a struct of the ``text`` and ``n``, how many changed."""
     def within(cells):
-        window = lambda i, k: F.concat_ws("", F.slice(cells, i, k))
-
-        def usual(i):
-            many = [F.when(_let(window(i, F.lit(k)), lambda w: w.rlike(p) & _is_card(w)), k) for k, p in USUAL.items()]  # noqa: B023
-            return F.coalesce(F.when(_is_card(cells[i - 1]), 1), *many, F.lit(0))
-
-        def resolved(known):
-            def longest(i):
-                sizes = F.sequence(F.lit(2), F.least(F.lit(19), F.size(cells) - i + 1))
-                fits = lambda k: F.forall(F.slice(known, i, k), lambda u: u == 0) & _is_card(window(i, k))
-                return F.when(i < F.size(cells), F.coalesce(F.array_max(F.filter(sizes, fits)), F.lit(0))).otherwise(0)
-
-            def step(s, i):
-                size = F.when(known[i - 1] > 0, known[i - 1]).otherwise(longest(i))
-                put = lambda old, new, k: F.struct(
-                    (i + k).cast("int").alias("next"), F.concat(s["text"], new).alias("text"),
-                    (s["n"] + (old != new).cast("int")).alias("n"),
-                )
-                return F.when(i < s["next"], s).otherwise(_let(size, lambda k: F.when(k == 0, put(cells[i - 1], cells[i - 1], F.lit(1))).otherwise(
-                    _let(window(i, k), lambda w: _let(_card(key, w, backwards), lambda new: put(w, new, k))))))
-
-            start = F.struct(F.lit(1).alias("next"), F.lit("").alias("text"), F.lit(0).alias("n"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(cells)), start, step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
-
-        return _let(F.transform(F.sequence(F.lit(1), F.size(cells)), usual), resolved)
+        window = lambda i, k: F.concat_ws("", F.slice(cells, i, F.lit(k) if isinstance(k, int) else k))
+
+        def sized(sizes):
+            def parts(i):
+                """Of how many numbers the card that begins with the i-th consists; 0 if none does."""
+                fits = lambda g: F.forall(F.sequence(F.lit(0), F.lit(len(g) - 1)), lambda j: F.coalesce(
+                    F.get(sizes, i - 1 + j) == F.array(*map(F.lit, g))[j], F.lit(False)))
+                grouped = [F.when(fits(g), F.when(_is_card(window(i, len(g))), len(g))) for g in GROUPS]
+                size = F.get(sizes, i - 1)
+                return F.when(size >= 13, F.when(_is_card(cells[i - 1]), 1).otherwise(0)).when(
+                    size.isin(*{g[0] for g in GROUPS}), F.coalesce(*grouped, F.lit(0))).otherwise(0)
+
+            def resolved(known):
+                def step(s, i):
+                    put = lambda old, new, k: F.struct(
+                        (i + k).cast("int").alias("next"), F.concat(s["text"], new).alias("text"),
+                        (s["n"] + (old != new).cast("int")).alias("n"),
+                    )
+                    return F.when(i < s["next"], s).otherwise(_let(known[i - 1], lambda k: F.when(
+                        k == 0, put(cells[i - 1], cells[i - 1], F.lit(1))).otherwise(
+                        _let(window(i, k), lambda w: _let(_card(key, w, backwards), lambda new: put(w, new, k))))))
+
+                def block(s, b):
+                    """Texts grow within a block only, so that long runs are not copied again and again."""
+                    start = F.struct(s["next"].alias("next"), F.lit("").alias("text"), s["n"].alias("n"))
+                    end = F.least(b * BLOCK + BLOCK, F.size(cells))
+                    return _let(F.aggregate(F.sequence(b * BLOCK + 1, end), start, step), lambda e: F.struct(
+                        e["next"].alias("next"), F.concat(s["pieces"], F.array(e["text"])).alias("pieces"), e["n"].alias("n")))
+
+                start = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<string>)").alias("pieces"), F.lit(0).alias("n"))
+                blocks = F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / BLOCK).cast("int"))
+                folded = F.aggregate(blocks, start, block, lambda s: F.struct(F.concat_ws("", s["pieces"]).alias("text"), s["n"].alias("n")))
+                plain = F.struct(m.alias("text"), F.lit(0).alias("n"))
+                return F.when(F.exists(known, lambda k: k > 0), folded).otherwise(plain)
+
+            return _let(F.transform(F.sequence(F.lit(1), F.size(cells)), parts), resolved)
+
+        return _let(F.transform(cells, lambda c: F.length(F.rtrim(F.rtrim(c), F.lit("-")))), sized)
 
     return _let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), within)
 
