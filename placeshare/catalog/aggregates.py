@@ -37,7 +37,7 @@ query("a_cond_sum", """
 )
 
 query("a_group_total", "select source, geo_id, sum(x) as n from req group by source, geo_id", "n")(
-    lambda t: request_mix.request_totals(request_mix.request_rows(t.staged, t.d))
+    lambda t: request_mix.request_totals(request_mix.request_rows(t.staged, t.d), t.d)
 )
 
 query("a_group_stats", """

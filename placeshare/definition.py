@@ -102,6 +102,18 @@ class Definition:
         if self.salts < 1:
             raise ValueError("salts must be at least 1")
 
+    # one version of itself: see plans/versions.py
+    keys = ()
+
+    def distinct(self, read) -> list:
+        return [read(self)]
+
+    def tagged(self, df):
+        return df
+
+    def choose(self, read, make):
+        return make(read(self))
+
     def replace(self, **changes) -> "Definition":
         known = {f.name for f in dataclasses.fields(self)}
         unknown = sorted(set(changes) - known)

@@ -26,7 +26,36 @@ def country_code(geography: Column, geo_id: Column) -> Column:
 
 
 def is_unclassified(geo_id: Column, d: Definition) -> Column:
-    return geo_id.isin(*d.unclassified_ids) | geo_id.endswith(d.unclassified_suffix)
+    return matches_place_rule(geo_id, (True, d.unclassified_ids, d.unclassified_suffix))
+
+
+def place_rule(d: Definition) -> tuple:
+    """Which places a definition leaves out."""
+    return d.exclude_unclassified, d.unclassified_ids, d.unclassified_suffix
+
+
+def matches_place_rule(geo_id: Column, rule: tuple) -> Column:
+    excluded, ids, suffix = rule
+    return geo_id.isin(*ids) | geo_id.endswith(suffix) if excluded else F.lit(False)
+
+
+def place_flags(d: Definition) -> dict[tuple, str]:
+    """The staged column for each distinct rule on places."""
+    rules = d.distinct(place_rule)
+    return {rule: "is_unclassified_geo" + (f"_{i}" if i else "") for i, rule in enumerate(rules)}
+
+
+def left_out_always(d: Definition) -> Column:
+    """Left out under each rule."""
+    out = F.lit(True)
+    for name in place_flags(d).values():
+        out = out & F.col(name)
+    return out
+
+
+def kept_place(d: Definition, prefix: str = "") -> Column:
+    flags = place_flags(d)
+    return d.choose(place_rule, lambda rule: ~F.col(prefix + flags[rule]))
 
 
 def cluster_or_blank(cluster_name: Column) -> Column:
@@ -34,9 +63,10 @@ def cluster_or_blank(cluster_name: Column) -> Column:
 
 
 def parent_id(level: Column, country: Column, d: Definition) -> Column:
-    if d.subregion_parent == "global":
-        return F.lit(GLOBAL_ID)
-    return F.when(level == "country", F.lit(GLOBAL_ID)).otherwise(country)
+    return d.choose(
+        lambda d: d.subregion_parent,
+        lambda parent: F.lit(GLOBAL_ID) if parent == "global" else country_or_global(level, country),
+    )
 
 
 def country_or_global(level: Column, country: Column) -> Column:

@@ -11,7 +11,7 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def wilson(x: Column, n: Column, z: float, lo_centred: bool = True) -> tuple[Column, Column]:
+def wilson(x: Column, n: Column, z: float | Column, lo_centred: bool = True) -> tuple[Column, Column]:
     """Wilson score bounds of x out of n, in counts rather than proportions."""
     shift = F.lit(z * z / 2.0)
     spread = F.lit(z) * F.sqrt(ratio(x * (n - x), n) + F.lit(z * z / 4.0))
@@ -61,8 +61,8 @@ def poisson_band(index: Column, count: Column, z: float) -> tuple[Column, Column
     return index * (F.lit(1.0) - margin), index * (F.lit(1.0) + margin)
 
 
-def per_residents(count: Column, people: Column, base: float) -> Column:
-    return ratio(count * F.lit(float(base)), people)
+def per_residents(count: Column, people: Column, base: float | Column) -> Column:
+    return ratio(count * F.lit(base).cast("double"), people)
 
 
 def rest_of_parent(

@@ -33,27 +33,38 @@ def group_stats(occupations: DataFrame, d: Definition) -> DataFrame:
         )
 
     over_all = mean(score.isNotNull())
-    median = F.percentile(score, F.lit(0.5), k) if d.median == "median" else over_all
+    means = {"all": over_all, "exposed": mean(score > 0)}
+    medians = {"median": F.percentile(score, F.lit(0.5), k), "mean": over_all}
+    counted = [means[kind].alias(f"mean_{kind}") for kind in d.distinct(lambda d: d.mean_over)]
+    counted += [medians[kind].alias(f"median_{kind}") for kind in d.distinct(lambda d: d.median)]
     highest_first = F.struct(score.isNull(), -score, F.col("first_title"))
-    return score_counts(occupations).groupBy("soc_group").agg(
+    folded = score_counts(occupations).groupBy("soc_group").agg(
         F.sum(k).alias("occupations"),
-        (over_all if d.mean_over == "all" else mean(score > 0)).alias("mean_exposure"),
-        median.alias("median_exposure"),
+        *counted,
         stats.ratio(
             F.sum(F.when(score > 0, k).otherwise(F.lit(0))), F.sum(k)
         ).alias("share_with_exposure"),
         F.max(score).alias("max_exposure"),
         F.min_by("first_title", highest_first).alias("most_exposed_occupation"),
     )
+    return d.tagged(folded).select(
+        *d.keys, "soc_group", "occupations",
+        d.choose(lambda d: d.mean_over, lambda kind: F.col(f"mean_{kind}")).alias("mean_exposure"),
+        d.choose(lambda d: d.median, lambda kind: F.col(f"median_{kind}")).alias("median_exposure"),
+        "share_with_exposure", "max_exposure", "most_exposed_occupation",
+    )
 
 
 def function_exposure(occupations: DataFrame, groups: DataFrame, d: Definition) -> DataFrame:
     named = groups.select("soc_group", F.col("name").alias("soc_name"))
     # ranks two-character groups: at most a few thousand rows, whatever the occupation count
-    by_mean = Window.orderBy(F.round("mean_exposure", RANK_DIGITS).desc())
-    rank = F.rank() if d.ranking == "rank" else F.dense_rank()
+    by_mean = Window.partitionBy(*d.keys).orderBy(F.round("mean_exposure", RANK_DIGITS).desc())
+    rank = d.choose(
+        lambda d: d.ranking,
+        lambda kind: (F.rank() if kind == "rank" else F.dense_rank()).over(by_mean),
+    )
     return group_stats(occupations, d).join(named, "soc_group").select(
-        "soc_group", "soc_name", "occupations", "mean_exposure", "median_exposure",
+        *d.keys, "soc_group", "soc_name", "occupations", "mean_exposure", "median_exposure",
         "share_with_exposure", "max_exposure", "most_exposed_occupation",
-        rank.over(by_mean).alias("rank_by_mean"),
+        rank.alias("rank_by_mean"),
     )

@@ -20,7 +20,7 @@ def both_sources(shares: DataFrame, d: Definition) -> DataFrame:
     """One row per metric that both sources have; a fold by key, not a self-join."""
     folded = shares.filter(
         (F.col("geo_id") == GLOBAL_ID) & F.col("source").isin(d.chat_source, d.api_source)
-    ).groupBy("metric").agg(*[
+    ).groupBy(*d.keys, "metric").agg(*[
         F.max(F.when(F.col("source") == source, F.col(column))).alias(f"{source}_{column}")
         for source in (d.chat_source, d.api_source)
         for column in ("share", "n")
@@ -32,13 +32,15 @@ def platform_gap(shares: DataFrame, d: Definition) -> DataFrame:
     chat, api = F.col(f"{d.chat_source}_share"), F.col(f"{d.api_source}_share")
     chat_n, api_n = F.col(f"{d.chat_source}_n"), F.col(f"{d.api_source}_n")
     diff = api - chat
-    variance = stats.share_variance(chat, chat_n)
-    if d.gap_two_sample:
-        variance = variance + stats.share_variance(api, api_n)
-    half = F.lit(d.z_gap) * F.sqrt(variance)
+    both = stats.share_variance(chat, chat_n) + stats.share_variance(api, api_n)
+    variance = d.choose(
+        lambda d: d.gap_two_sample,
+        lambda two: both if two else stats.share_variance(chat, chat_n),
+    )
+    half = d.choose(lambda d: d.z_gap, F.lit) * F.sqrt(variance)
     return both_sources(shares, d).select(
-        *gap_columns(d)[:5],
-        (diff * F.lit(d.gap_sign)).alias("diff"),
+        *d.keys, *gap_columns(d)[:5],
+        (diff * d.choose(lambda d: d.gap_sign, F.lit)).alias("diff"),
         (diff - half).alias("diff_lo"),
         (diff + half).alias("diff_hi"),
     )

@@ -11,13 +11,15 @@ from placeshare.functions import places
 
 def stage_facts(facts: DataFrame, d: Definition) -> DataFrame:
     geography, geo_id = F.col("geography"), F.col("geo_id")
-    unclassified = places.is_unclassified(geo_id, d) if d.exclude_unclassified else F.lit(False)
     return facts.select(
         "source",
         "geo_id",
         places.geo_level(geography).alias("geo_level"),
         places.country_code(geography, geo_id).alias("country_code"),
-        unclassified.alias("is_unclassified_geo"),
+        *[
+            places.matches_place_rule(geo_id, rule).alias(name)
+            for rule, name in places.place_flags(d).items()
+        ],
         "facet",
         "level",
         "variable",

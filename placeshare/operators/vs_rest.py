@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeshare.definition import Definition
@@ -16,32 +16,36 @@ def with_parent(shares: DataFrame, d: Definition) -> DataFrame:
         "parent_id", places.parent_id(F.col("geo_level"), F.col("country_code"), d)
     )
     parents = shares.filter(F.col("geo_level").isin("global", "country")).select(
-        "source", "metric", F.col("geo_id").alias("parent_id"),
+        *d.keys, "source", "metric", F.col("geo_id").alias("parent_id"),
         F.col("x").alias("parent_x"), F.col("n").alias("parent_n"),
     )
     return join_parent(
-        children, parents, ["source", "metric", "parent_id"], ["geo_id"], d.salts
+        children, parents, [*d.keys, "source", "metric", "parent_id"], ["geo_id"], d.salts
     )
 
 
 def vs_rest(shares: DataFrame, d: Definition) -> DataFrame:
     x, n = F.col("x"), F.col("n")
     gap_x, gap_n = stats.rest_of_parent(F.col("parent_x"), x, F.col("parent_n"), n)
-    x_rest, n_rest = (gap_x, gap_n) if d.rest_excludes_self else (
-        F.col("parent_x"), F.col("parent_n")
-    )
-    diff, low, high = stats.wald_diff_ci(
-        F.col("share"), n, F.col("share_rest"), F.col("n_rest"), d.z_rest, d.rest_two_sample
-    )
+    without_place = lambda d: d.rest_excludes_self
+    x_rest = d.choose(without_place, lambda own: gap_x if own else F.col("parent_x"))
+    n_rest = d.choose(without_place, lambda own: gap_n if own else F.col("parent_n"))
+    z = d.choose(lambda d: d.z_rest, F.lit)
+
+    def interval(part: int) -> Column:
+        return d.choose(lambda d: d.rest_two_sample, lambda two: stats.wald_diff_ci(
+            F.col("share"), n, F.col("share_rest"), F.col("n_rest"), z, two
+        )[part])
+
     return (
         with_parent(shares, d)
-        .filter(gap_n >= d.min_rest)
+        .filter(gap_n >= d.choose(lambda d: d.min_rest, F.lit))
         .withColumn("x_rest", x_rest)
         .withColumn("n_rest", n_rest)
         .withColumn("share_rest", stats.ratio(F.col("x_rest"), F.col("n_rest")))
         .select(
-            "source", "geo_id", "metric", "parent_id", "x", "n", "share",
+            *d.keys, "source", "geo_id", "metric", "parent_id", "x", "n", "share",
             "x_rest", "n_rest", "share_rest",
-            diff.alias("diff"), low.alias("diff_lo"), high.alias("diff_hi"),
+            interval(0).alias("diff"), interval(1).alias("diff_lo"), interval(2).alias("diff_hi"),
         )
     )

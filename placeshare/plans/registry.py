@@ -97,14 +97,14 @@ def build_metrics(
 ) -> dict[str, DataFrame]:
     """The metrics as lazy, unordered frames.
 
+    ``d`` may also be ``Versions``: then each frame has all of them, told apart by its key.
     ``staged`` and ``share_rows`` let a caller pass in persisted frames that several metrics use.
     """
     staged = stage_facts(inputs.facts, d) if staged is None else staged
-    share_rows = shares(staged, d) if share_rows is None else share_rows
-    return {
-        name: METRICS[name].build(inputs, staged, share_rows, d)
-        for name in (names if names is not None else METRICS)
-    }
+    names = list(names if names is not None else METRICS)
+    if share_rows is None and {"shares", "vs_rest", "platform_gap"} & set(names):
+        share_rows = shares(staged, d)
+    return {name: METRICS[name].build(inputs, staged, share_rows, d) for name in names}
 
 
 def ordered_metrics(metrics: Metrics) -> dict[str, DataFrame]:

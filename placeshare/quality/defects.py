@@ -1,7 +1,7 @@
 """Twenty-six planted defects, each one changed definition, that the checks must notice.
 
-All defects are evaluated together: every metric's variants are stacked with a ``defect`` column,
-so a corpus costs one comparison and one invariant pass, not one per defect.
+All defects are evaluated together: each metric is built once with all definitions as parameters, so
+a corpus costs six tables, four comparisons and one pass of invariants, whatever the number of defects.
 """
 
 from __future__ import annotations
@@ -13,20 +13,20 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from placeshare.definition import Definition
 from placeshare.inputs import Inputs
 from placeshare.plans.jobs import written_all
 from placeshare.plans.registry import METRICS, affected_metrics, build_metrics
 from placeshare.plans.sqlmodels import sql_metrics
+from placeshare.plans.versions import Versions
 from placeshare.quality.investigate import issue_counts, largest_errors
-from placeshare.quality.invariants import check_invariants, invariant_builders
+from placeshare.quality.invariants import check_invariants, invariant_parts
 from placeshare.quality.reconcile import reconcile_all, reconcile_metric
 from placeshare.sources.concurrent import concurrently
-from placeshare.sources.storage import new_path
 
 BY = ("defect",)
+CLEAN = ""
 
 # The layers that can notice a defect.
 RECONCILIATION, INVARIANT, HAND = "reconciliation", "invariants", "hand-computed"
@@ -111,47 +111,40 @@ def override(d: Definition, defect: Defect) -> Definition:
     return d.replace(**defect.changes) if defect.changes else d
 
 
-def _tagged(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    return df.withColumn("defect", F.explode(F.array(*[F.lit(i) for i in ids])))
+def version_ids(corpus: Corpus, defects: Sequence[Defect]) -> dict[str, list[str]]:
+    """Per metric, the defects that change a setting it reads."""
+    before = corpus.definition
+    affected = {i.id: affected_metrics(override(before, i), before) for i in defects}
+    return {name: [i for i, names in affected.items() if name in names] for name in METRICS}
 
 
 def stacked_versions(
-    corpus: Corpus, defects: Sequence[Defect], clean: Mapping[str, DataFrame]
+    corpus: Corpus, defects: Sequence[Defect], clean: Mapping[str, DataFrame] | None = None
 ) -> dict[str, DataFrame]:
-    """Per metric, one frame with every defect's version of it, told apart by ``defect``.
+    """Per metric, one frame with the clean version and each defect's that moves it.
 
-    Only metrics that read a changed knob are rebuilt, each written as one partition of its
-    metric's table, all defects at the same time. For the others the clean frame stands in.
+    The definitions are the parameters of one plan a metric: facts are read once, folded to one
+    counter per distinct rule, and only then told apart by ``defect`` (see plans/versions.py).
+    The comparison with the parent's shares needs the shares of each version that it has. Clean
+    metrics that are already there need not be built again.
     """
-    spark, before = corpus.inputs.spark, corpus.definition
-    paths = {name: new_path(spark, f"defects_{name}") for name in METRICS}
-    changed = {defect.id: override(before, defect) for defect in defects}
-    affected = {i: affected_metrics(d, before) for i, d in changed.items()}
-
-    def rebuild(i: str) -> None:
-        keeps_shares = "shares" not in affected[i]
-        built = build_metrics(
-            corpus.inputs, changed[i], affected[i],
-            share_rows=clean["shares"] if keeps_shares else None,
-        )
-        for name, df in built.items():
-            df.write.parquet(f"{paths[name]}/defect={i}")
-
-    concurrently(spark, [lambda i=i: rebuild(i) for i in changed])
-    stacked = {}
-    for name in METRICS:
-        unmoved = [i for i in changed if name not in affected[i]]
-        parts = [_tagged(clean[name], unmoved)] if unmoved else []
-        if len(unmoved) < len(changed):
-            schema = T.StructType([*clean[name].schema, T.StructField("defect", T.StringType())])
-            parts.append(spark.read.schema(schema).parquet(paths[name]))
-        stacked[name] = reduce(DataFrame.unionByName, parts)
-    return stacked
-
-
-def clean_metrics(corpus: Corpus) -> dict[str, DataFrame]:
+    changed = {defect.id: override(corpus.definition, defect) for defect in defects}
+    ids = version_ids(corpus, defects)
+    ids["shares"] = [i for i in changed if i in ids["shares"] or i in ids["vs_rest"]]
+
+    def build(name: str) -> DataFrame:
+        of = {i: changed[i] for i in ids[name]}
+        if clean is not None:
+            known = clean[name].withColumn("defect", F.lit(CLEAN))
+            if not of:
+                return known
+            built = build_metrics(corpus.inputs, Versions(of, *BY), [name])[name]
+            return built.unionByName(known)
+        of = {CLEAN: corpus.definition, **of}
+        return build_metrics(corpus.inputs, Versions(of, *BY), [name])[name]
+
     return written_all(
-        corpus.inputs.spark, build_metrics(corpus.inputs, corpus.definition)
+        corpus.inputs.spark, {name: lambda n=name: build(n) for name in METRICS}
     )
 
 
@@ -160,30 +153,54 @@ def find_defects(
 ) -> list[Callable[[], DataFrame]]:
     """(defect, layer, metric): which layer sees which defect, and in which metric.
 
-    One comparison per function, so that they can be planned and run side by side.
+    A few functions, so that they can be planned and run side by side: the comparisons of two
+    metrics each, and the invariants. What the clean version shows holds for each defect that
+    leaves the metric as it is.
     """
     ids = [defect.id for defect in defects]
-    clean = metrics if metrics is not None else clean_metrics(corpus)
-    sut = stacked_versions(corpus, defects, clean)
-
-    def compare(layer: str, reference: Mapping[str, DataFrame], name: str) -> DataFrame:
-        issues = reconcile_metric(name, sut[name], _tagged(reference[name], ids), by=BY)
-        return issues.select("defect", F.lit(layer).alias("layer"), "metric").distinct()
-
-    def broken(check: Callable[[], DataFrame]) -> DataFrame:
-        return check().filter(~F.col("passed")).select(
-            "defect", F.lit(INVARIANT).alias("layer"), F.lit(None).cast("string").alias("metric")
-        ).distinct()
-
-    sides = {RECONCILIATION: corpus.reference, HAND: corpus.expected}
-    checks = invariant_builders(sut, corpus.inputs, corpus.definition, BY)
-    return [
-        *[
-            lambda layer=layer, side=side, name=name: compare(layer, side, name)
-            for layer, side in sides.items() if side is not None for name in METRICS
-        ],
-        *[lambda check=check: broken(check) for check in checks],
-    ]
+    moved = version_ids(corpus, defects)
+    sut = stacked_versions(corpus, defects, metrics)
+
+    def spread(found: DataFrame, of: Sequence[str]) -> DataFrame:
+        others = [i for i in ids if i not in of]
+        clean = F.array(*[F.lit(i) for i in others]).cast("array<string>")
+        own = F.filter(F.array("defect"), lambda i: i.isin(*ids))
+        return found.withColumn(
+            "defect", F.explode(F.when(F.col("defect") == CLEAN, clean).otherwise(own))
+        )
+
+    def compare(names: Sequence[str]) -> DataFrame:
+        parts = []
+        for name in names:
+            tags = F.array(*[F.lit(i) for i in (CLEAN, *moved[name])])
+            own = sut[name].filter(F.col("defect").isin(CLEAN, *moved[name]))
+            for layer, side in sides.items():
+                reference = side[name].withColumn("defect", F.explode(tags))
+                issues = reconcile_metric(name, own, reference, by=BY)
+                parts.append(spread(
+                    issues.select("defect", F.lit(layer).alias("layer"), "metric").distinct(),
+                    moved[name],
+                ))
+        return reduce(DataFrame.unionAll, parts)
+
+    def broken() -> DataFrame:
+        # each by the metrics it looks at
+        parts = []
+        for names, check in invariant_parts(sut, corpus.inputs, corpus.definition, BY):
+            looked_at = [i for i in ids if any(i in moved[name] for name in names)]
+            parts.append(spread(check().filter(~F.col("passed")).select(
+                "defect", F.lit(INVARIANT).alias("layer"),
+                F.lit(None).cast("string").alias("metric"),
+            ).distinct(), looked_at))
+        return reduce(DataFrame.unionAll, parts)
+
+    sides = {
+        layer: side for layer, side in
+        ((RECONCILIATION, corpus.reference), (HAND, corpus.expected)) if side is not None
+    }
+    pairs = [("geo_usage", "function_exposure"), ("shares", "platform_gap"),
+             ("vs_rest",), ("request_mix",)]
+    return [*[lambda names=names: compare(names) for names in pairs], broken]
 
 
 def _evaluate(

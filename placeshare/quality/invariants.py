@@ -176,20 +176,29 @@ def _unclassified(
     ), by)
 
 
-def invariant_builders(
+def invariant_parts(
     metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
-) -> list[Callable[[], DataFrame]]:
-    """The verdicts as independent frames, built on call: one or two per metric."""
+) -> list[tuple[tuple[str, ...], Callable[[], DataFrame]]]:
+    """The verdicts as independent frames, built on call, with the metrics that each looks at.
+
+    With ``by``, places are judged metric by metric, as not each version has all metrics.
+    """
     geo, shares, mix = metrics["geo_usage"], metrics["shares"], metrics["request_mix"]
+    placed = [("geo_usage", "shares", "request_mix")]
+    if by:
+        placed = [(name,) for name in placed[0]]
     return [
-        lambda: _shares(shares, by),
-        lambda: _geo_usage(geo, by),
-        lambda: _known_places(geo, inputs, by),
-        lambda: _vs_rest(metrics["vs_rest"], shares, by),
-        lambda: _request_mix(mix, d, by),
-        lambda: _platform_gap(metrics["platform_gap"], d, by),
-        lambda: _function_exposure(metrics["function_exposure"], inputs, by),
-        lambda: _unclassified([geo, shares, mix], d, by),
+        (("shares",), lambda: _shares(shares, by)),
+        (("geo_usage",), lambda: _geo_usage(geo, by)),
+        (("geo_usage",), lambda: _known_places(geo, inputs, by)),
+        (("vs_rest", "shares"), lambda: _vs_rest(metrics["vs_rest"], shares, by)),
+        (("request_mix",), lambda: _request_mix(mix, d, by)),
+        (("platform_gap",), lambda: _platform_gap(metrics["platform_gap"], d, by)),
+        (("function_exposure",), lambda: _function_exposure(metrics["function_exposure"], inputs, by)),
+        *[
+            (names, lambda names=names: _unclassified([metrics[n] for n in names], d, by))
+            for names in placed
+        ],
     ]
 
 
@@ -197,5 +206,5 @@ def check_invariants(
     metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
 ) -> DataFrame:
     """(invariant, passed, detail), one aggregate per metric; per value of ``by`` if given."""
-    frames = [build() for build in invariant_builders(metrics, inputs, d, by)]
+    frames = [build() for _, build in invariant_parts(metrics, inputs, d, by)]
     return reduce(DataFrame.unionByName, frames)
