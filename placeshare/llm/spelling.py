@@ -25,7 +25,6 @@ any length take part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +222,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         q, t = (np.concatenate(x) for x in zip(*found))
-        pair = np.unique(q * len(known) + t)
+        pair = np.unique((q * len(known) + t)[t >= 0])  # no word begins with the last |
         q, t = pair // len(known), pair % len(known)
         for q, t, left in _near(flat, start, length, tflat, tstart, tlength, q, t):
             shorter = np.minimum(length[q], tlength[t])
