@@ -1,5 +1,8 @@
 """Reconciliation, invariants, drill-downs, defects, figures' verification and the gate."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeshare.catalog.checks import CHECKS_SQL
@@ -8,6 +11,7 @@ from placeshare.catalog.report import BRIEF
 from placeshare.catalog.tables import gate, order_files, planted, published_digests
 from placeshare.plans.pipeline import run_pipeline
 from placeshare.quality import defects
+from placeshare.quality.checks import run_checks
 from placeshare.quality.investigate import rollup_report
 from placeshare.quality.invariants import INVARIANTS, check_invariants
 from placeshare.quality.reconcile import (
@@ -15,6 +19,7 @@ from placeshare.quality.reconcile import (
 )
 from placeshare.report.figures import brief_facts, figure_verification
 from placeshare.sources import orders, sinks
+from placeshare.sources.facts import source_row_counts
 from placeshare.sources.manifest import source_manifest
 from placeshare.sources.storage import new_path
 
@@ -146,9 +151,48 @@ def override(t):
     )
 
 
-query("defect_report", """
-    select 'geo_usage' as metric, 'per_100k' as "column", count(*) as cells from m_geo_usage
-""")(lambda t: defects.defect_report(_corpus(t), "M06").cells)
+@query("defect_report", """
+    with off as (
+        select 'M06' as defect, 'geo_usage' as metric, 'geo_id=' || geo_id as key, 'per_100k' as "column",
+               conversations * 1e6 / population as sut_value, conversations * 1e5 / population as ref_value
+        from m_geo_usage
+        union all
+        select 'M21', 'platform_gap', 'metric=' || metric, 'diff', -diff, diff from m_platform_gap where diff <> 0
+    ),
+    ranked as (
+        select *, 1e2 * (sut_value - ref_value) / abs(ref_value) as error_pct from off
+    ),
+    metrics as (select unnest(['geo_usage', 'shares', 'vs_rest', 'request_mix', 'platform_gap', 'function_exposure']) as metric),
+    reports as (select unnest(['M06', 'M21']) as defect)
+    select defect, 'cells' as part, metric, "column", count(*)::double as number from off group by all
+    union all select distinct defect, 'moved', metric, null, null::double from off
+    union all select defect, 'unmoved', m.metric, null, null from metrics m, reports r
+        where not exists (from off where off.defect = r.defect and off.metric = m.metric)
+    union all select distinct 'M21', 'broken', 'gap_is_api_minus_chat', null, null::double from m_platform_gap
+        where abs(diff) > 1e-8
+    union all (
+        select defect, 'largest', metric, "column", error_pct from (
+            select *, row_number() over (partition by defect order by abs(error_pct) desc, metric, key, "column") as r from ranked)
+        where r <= 8
+    )
+""", "number")
+def defect_reports(t):
+    """Two defects in full: cells by column, the largest errors, metrics that moved or did not, broken invariants."""
+    none = F.lit(None)
+    parts = []
+    for name in ("M06", "M21"):
+        report = defects.defect_report(_corpus(t), name)
+        for part, frame, metric, column, number in (
+            ("cells", report.cells, "metric", F.col("column"), F.col("cells")),
+            ("moved", report.moved, "metric", none, none), ("unmoved", report.unmoved, "metric", none, none),
+            ("broken", report.broken, "invariant", none, none),
+            ("largest", report.largest, "metric", F.col("column"), F.col("error_pct")),
+        ):
+            parts.append(frame.select(
+                F.lit(name).alias("defect"), F.lit(part).alias("part"), F.col(metric).alias("metric"),
+                column.cast("string").alias("column"), number.cast("double").alias("number"),
+            ))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def verification(t):
@@ -157,13 +201,10 @@ def verification(t):
     )
 
 
-query("figure_verification", """
-    select cast(53 as bigint) as figures, cast(53 as bigint) as matched from m_platform_gap limit 1
-""")(
-    lambda t: verification(t).agg(
-        F.count(F.lit(1)).alias("figures"), F.count_if("match").alias("matched")
-    )
-)
+query("figure_verification", f"""
+    select label, value, value as ref_value, text, text as ref_text,
+           coalesce(value = value, true) and coalesce(text = text, true) as match from ({BRIEF})
+""", "value ref_value")(verification)
 
 def _gate_sql(published: str) -> str:
     return f"""
@@ -187,9 +228,62 @@ query("run_gate", _gate_sql("false"))(gate)
 @query("write_summary", _gate_sql("false"))
 def write_summary(t):
     out = new_path(t.spark, "artifacts")
-    summary = gate(t)
-    sinks.write_summary(summary, out)
-    return sinks.read_table(t.spark, f"{out}/qa/summary", summary.schema, "json")
+    summary, folder = gate(t), sinks.new_run(out)
+    sinks.write_summary(summary, folder)
+    sinks.publish(t.spark, out, folder)
+    last = sinks.published(t.spark, out)
+    return sinks.read_table(t.spark, f"{last}/qa/summary", summary.schema, "json")
+
+
+NO_NUMBER, NO_FLAG = "cast(null as double)", "cast(null as boolean)"
+QA = {  # artifact: key, number and flag of each of its rows
+    "rollup_gaps": ("parent", "gap", NO_FLAG),
+    "checks": ("check", "value", "passed"),
+    "invariants": ("invariant", NO_NUMBER, "passed"),
+    "figures": ("label", "value", "match"),
+    "reconciliation": ("metric", "cells_compared", "status = 'match'"),
+    "issues": ("key", "sut_value", NO_FLAG),
+    "source_rows": ("source", "rows", NO_FLAG),
+    "defects": ("id", "length(name)", "killed"),
+}
+DEFECT_ROWS = " union all ".join(
+    f"select '{d.id}' as id, {len(d.name)} as n" for d in defects.DEFECTS
+)
+
+
+@query("write_qa", f"""
+    select 'rollup_gaps' as artifact, parent as key, gap as number, null::boolean as flag from gaps where gap <> 0
+    union all select 'checks', "check", value, passed from ({CHECKS_SQL})
+    union all select 'invariants', invariant, null, passed from ({VERDICTS})
+    union all select 'figures', label, value, coalesce(value = value, text = text, true) from ({BRIEF})
+    union all select 'reconciliation', metric, cells_compared, rows_sql = rows_reference from ({SIZES})
+    union all select 'source_rows', source, count(*), null from facts group by source
+    union all select 'defects', id, n, n > 0 from ({DEFECT_ROWS})
+""", "number")
+def write_qa(t):
+    """All evidence tables, written, published and read back."""
+    out = new_path(t.spark, "artifacts")
+    first, second = t.results
+    issues = reconcile_all(first, second)
+    frames = {
+        "rollup_gaps": rollup_report(t.facts, t.inputs.territories, t.d),
+        "checks": run_checks(t.inputs, t.d),
+        "invariants": check_invariants(first, t.inputs, t.d),
+        "figures": verification(t),
+        "reconciliation": reconcile_summary(first, second, issues),
+        "issues": issues,
+        "source_rows": source_row_counts(t.facts),
+        "defects": planted(t),
+    }
+    folder = sinks.new_run(out)
+    sinks.write_qa(frames, folder)
+    sinks.publish(t.spark, out, folder)
+    last = sinks.published(t.spark, out)
+    return reduce(DataFrame.unionAll, [
+        sinks.read_table(t.spark, f"{last}/qa/{name}", frames[name].schema).selectExpr(
+            f"'{name}' as artifact", f"{key} as key", f"cast({number} as double) as number", f"{flag} as flag"
+        ) for name, (key, number, flag) in QA.items()
+    ])
 
 
 @query("run_pipeline", _gate_sql("true"))
@@ -198,4 +292,5 @@ def pipeline(t):
     manifest = source_manifest(t.spark, order_files(t), published_digests(t))
     out = new_path(t.spark, "artifacts")
     run = run_pipeline(orders.order_inputs(t.spark, t.sf_dir), t.d, manifest, out)
-    return sinks.read_table(t.spark, f"{out}/qa/summary", run.summary.schema, "json")
+    last = sinks.published(t.spark, out)
+    return sinks.read_table(t.spark, f"{last}/qa/summary", run.summary.schema, "json")

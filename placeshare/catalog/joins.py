@@ -120,7 +120,7 @@ query("j_soc", """
     select o.occ_code, g.name from occupations o
     join dim_occupation_group g on g.soc_group = left(o.occ_code, 2)
 """)(
-    lambda t: t.inputs.occupations.withColumn("soc_group", F.substring_index("occ_code", "-", 1)).join(
+    lambda t: t.inputs.occupations.withColumn("soc_group", F.left("occ_code", F.lit(2))).join(
         t.inputs.occupation_groups, "soc_group"
     ).select("occ_code", "name")
 )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from placeshare.catalog.core import query
 from placeshare.functions import places
 from placeshare.operators import function_exposure, geo_usage
-from placeshare.operators.numbering import number_within
+from placeshare.operators.numbering import number_rows
 from placeshare.operators.platform_gap import both_sources
 from placeshare.quality.investigate import largest_errors, rollup_report
 from placeshare.quality.reconcile import reconcile_metric
@@ -27,29 +27,52 @@ def w_pool_sum(t):
 
 
 query("w_row_number", """
-    select occ_code, row_number() over (partition by split_part(occ_code, '-', 1) order by cast(split_part(occ_code, '-', 2) as bigint)) as pos
+    select occ_code, row_number() over (partition by left(occ_code, 2)
+               order by observed_exposure desc nulls last, title) as pos
     from occupations
 """)(
-    lambda t: number_within(
-        t.inputs.occupations.select(
-            "occ_code", places.occupation_group(F.col("occ_code")).alias("soc_group"),
-            F.substring_index("occ_code", "-", -1).cast("long").alias("serial"),
-        ),
-        "soc_group", "serial", "pos", width=64,
+    lambda t: number_rows(
+        t.inputs.occupations.withColumn("soc_group", places.occupation_group(F.col("occ_code"))),
+        [(F.col("observed_exposure"), True), (F.col("title"), False)], ["soc_group"],
+        {"row_number": "pos"},
     ).select("occ_code", "pos")
 )
 
+query("w_occupation_ranks", """
+    select occ_code, row_number() over (order by observed_exposure desc nulls last, title) as pos,
+           rank() over (order by observed_exposure desc nulls last) as score_rank,
+           dense_rank() over (order by observed_exposure desc nulls last) as score_dense_rank
+    from occupations
+""")(
+    lambda t: number_rows(
+        number_rows(
+            t.inputs.occupations, [(F.col("observed_exposure"), True), (F.col("title"), False)],
+            names={"row_number": "pos"},
+        ),
+        [(F.col("observed_exposure"), True)],
+        names={"rank": "score_rank", "dense_rank": "score_dense_rank"},
+    ).select("occ_code", "pos", "score_rank", "score_dense_rank")
+)
+
+
+def _by_mean(t, kind: str):
+    """Ranks over the rounded means, as tied means may differ in the last bits."""
+    rounded = F.round("mean_exposure", function_exposure.RANK_DIGITS)
+    exposure = t.metrics["function_exposure"].select("soc_group", "mean_exposure")
+    return number_rows(exposure, [(rounded, True)], names={kind: "rank_by_mean"}).select(
+        "soc_group", F.col("rank_by_mean").cast("int").alias("rank_by_mean")
+    )
+
+
 query("w_rank", "select soc_group, rank_by_mean from m_function_exposure")(
-    lambda t: t.metrics["function_exposure"].select("soc_group", "rank_by_mean")
+    lambda t: _by_mean(t, "rank")
 )
 
 query("w_dense_rank", """
     select soc_group, cast(dense_rank() over (order by round(mean_exposure, 12) desc) as integer)
         as rank_by_mean from m_function_exposure
 """)(
-    lambda t: function_exposure.function_exposure(
-        t.inputs.occupations, t.inputs.occupation_groups, t.d.replace(ranking="dense_rank")
-    ).select("soc_group", "rank_by_mean")
+    lambda t: _by_mean(t, "dense_rank")
 )
 
 query("w_position", """

@@ -236,9 +236,11 @@ query("source_row_counts", """
 
 def _rewritten(t, form: str):
     out = new_path(t.spark, "artifacts")
-    sinks.write_gold(t.metrics, out, form)
+    folder = sinks.new_run(out)
+    sinks.write_gold(t.metrics, folder, form)
+    sinks.publish(t.spark, out, folder)
     wanted = {name: df.schema for name, df in t.metrics.items()}
-    return sinks.read_gold(t.spark, out, {**wanted, "not_written": wanted["shares"]}, form)
+    return sinks.read_gold(t.spark, sinks.published(t.spark, out), {**wanted, "not_written": wanted["shares"]}, form)
 
 
 @query("write_gold", ESTIMATES, "estimate")
@@ -285,17 +287,6 @@ def loaded_from_files(t):
     return estimates(build_metrics(load_inputs(t.spark, _fact_files(t), files), t.d))
 
 
-@query("write_qa", """select * from gaps where gap <> 0""",
-       "country_count subregion_sum gap territory_sum unexplained")
-def write_qa(t):
-    from placeshare.quality.investigate import rollup_report
-
-    out = new_path(t.spark, "artifacts")
-    report = rollup_report(t.facts, t.inputs.territories, t.d)
-    sinks.write_qa({"rollup_gaps": report}, out)
-    return sinks.read_table(t.spark, f"{out}/qa/rollup_gaps", report.schema)
-
-
 def order_corpora(t) -> list[Corpus]:
     from placeshare.plans.pipeline import golden_corpus
 

@@ -74,7 +74,8 @@ def country_or_global(level: Column, country: Column) -> Column:
 
 
 def occupation_group(occ_code: Column) -> Column:
-    return F.substring_index(occ_code, "-", 1)
+    """The first two characters of the code."""
+    return F.left(occ_code, F.lit(2))
 
 
 def padded(value: Column, width: int) -> Column:

@@ -87,10 +87,10 @@ def _count_and_pct(df: DataFrame, count_name: Column, pct_name: Column) -> DataF
 def rollup_facts(records: DataFrame, spec: RollupSpec) -> DataFrame:
     """records(source, country, subregion, <one column per facet>) -> the long fact table.
 
-    The leaf counters are written once, because the rest reads them several times: without
-    that, every use would scan (and join) the raw records again.
+    The leaf counters and the cells of the three place levels are written once, because the rest
+    reads them several times: without that, every use would scan the raw records again.
     """
-    cells = _by_place(written(leaf_counts(records, spec), "leaf_counts"), spec)
+    cells = written(_by_place(written(leaf_counts(records, spec), "leaf_counts"), spec), "cells")
     totals = cells.groupBy("source", "geo_id", "facet").agg(F.sum("n").alias("total"))
 
     level = F.lit(None).cast("int")

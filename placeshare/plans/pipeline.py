@@ -26,7 +26,7 @@ from placeshare.sources.concurrent import concurrently
 from placeshare.sources.facts import source_row_counts
 from placeshare.sources.loading import ReferenceFiles, load_inputs
 from placeshare.sources.manifest import source_manifest
-from placeshare.sources.sinks import write_gold, write_qa, write_summary
+from placeshare.sources.sinks import new_run, publish, write_gold, write_qa, write_summary
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def run_pipeline(
     defects: Sequence[Defect] | None = DEFECTS,
     form: str = "parquet",
 ) -> Run:
-    """Build and check everything; write the artifacts under ``out`` if given.
+    """Build and check everything; publish the artifacts under ``out`` if given.
 
     ``defects=None`` skips the planted defects. Results move between the steps as written
     tables; only defect findings reach the driver.
@@ -117,11 +117,13 @@ def run_pipeline(
         evidence["checks"], evidence["figures"], evidence.get("defects"),
     ))
     if out is not None:
+        folder = new_run(out)
         concurrently(spark, [
-            lambda: write_gold({**first, "geo_names": names}, out, form),
-            lambda: write_qa(evidence, out, form),
-            lambda: write_summary(summary, out),
+            lambda: write_gold({**first, "geo_names": names}, folder, form),
+            lambda: write_qa(evidence, folder, form),
+            lambda: write_summary(summary, folder),
         ])
+        publish(spark, out, folder)
     return Run(first, evidence, summary)
 
 

@@ -47,9 +47,11 @@ def _same_number(a: str, b: str, rtol: float, atol: float) -> str:
     return f"case when {gone_a} or {gone_b} then {gone_a} and {gone_b} else {near} end"
 
 
-def _issue(column: str, kind: str, numbers: str = "", texts: str = "") -> str:
-    sut, ref = numbers.split("|") if numbers else ("cast(null as double)",) * 2
-    sut_text, ref_text = texts.split("|") if texts else ("cast(null as string)",) * 2
+def _issue(
+    column: str, kind: str, numbers: tuple[str, str] | None = None, texts: tuple[str, str] | None = None
+) -> str:
+    sut, ref = numbers or ("cast(null as double)",) * 2
+    sut_text, ref_text = texts or ("cast(null as string)",) * 2
     return (
         f"named_struct('column', {column}, 'sut_value', {sut}, 'ref_value', {ref}, "
         f"'sut_text', {sut_text}, 'ref_text', {ref_text}, 'kind', {kind})"
@@ -100,10 +102,10 @@ def reconcile_frames(
     ) + ", null)"]
     for c in values:
         a, b = cell("a", c), cell("b", c)
-        pair = f"{a}|{b}"
+        pair = (a, b)
         same = _same_number(a, b, rtol, atol) if numeric[c] else f"{a} <=> {b}"
         issue = _issue(
-            f"'{c}'", f"'{MISMATCH}'", pair if numeric[c] else "", "" if numeric[c] else pair
+            "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'", f"'{MISMATCH}'", pair if numeric[c] else None, None if numeric[c] else pair
         )
         found.append(f"if(not {one_sided} and not ({same}), {issue}, null)")
 

@@ -41,3 +41,10 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     even = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
     even.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def written_as_is(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, but each task's rows stay one file, in their order."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from placeshare.quality.reconcile import reconcile_all, reconcile_metric, reconcile_summary
+from placeshare.quality.reconcile import reconcile_all, reconcile_frames, reconcile_metric, reconcile_summary
 
 
 def test_a_changed_cell_is_found_and_located(golden):
@@ -59,3 +59,10 @@ def test_the_summary_counts_cells_and_mismatches(golden):
     assert {r.status for r in summary.values()} == {"match"}
     assert summary["geo_usage"].cells_compared == 5 * 8
     assert summary["platform_gap"].rows_reference == 4
+
+
+def test_columns_with_odd_names_are_compared(spark):
+    left = spark.createDataFrame([(1, 2.0, "x")], ["k", "a|b", "it's"])
+    right = spark.createDataFrame([(1, 3.0, "y")], ["k", "a|b", "it's"])
+    issues = {r.column: (r.sut_value, r.ref_value, r.sut_text, r.ref_text) for r in reconcile_frames("m", left, right, ["k"]).collect()}
+    assert issues == {"a|b": (2.0, 3.0, None, None), "it's": (None, None, "x", "y")}

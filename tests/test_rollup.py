@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeshare.operators.joins import join_parent, mark_in
-from placeshare.operators.numbering import number_within
+from placeshare.operators.numbering import number_rows, number_within
 from placeshare.operators.rollup import RollupSpec, leaf_counts, rollup_facts
 
 SPEC = RollupSpec(
@@ -111,3 +111,35 @@ def test_marking_is_not_multiplied_by_repeated_values(spark):
     rows = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     marked = mark_in(rows, "k", values, "label", "hit").orderBy(F.asc_nulls_last("k")).collect()
     assert [(r.k, r.hit) for r in marked] == [("a", True), ("b", False), (None, False)]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+def test_numbers_over_any_order_with_ties(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [("hot", rng.choice([1.0, 2.0, 2.0, 3.5, None]), f"t{rng.randrange(30)}", i) for i in range(400)]
+    rows += [("tied", 7.0, "same", i) for i in range(150)] + [(None, 1.0, "a", 0), ("one", None, None, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, title string, id long")
+    names = {"row_number": "pos", "rank": "place", "dense_rank": "dense"}
+    for by in (["g"], []):
+        order = [(F.col("score"), True), (F.col("title"), False)]
+        got = number_rows(df, order, by, names, ranges).collect()
+        assert len(got) == len(rows)
+        groups = {}
+        for r in got:
+            groups.setdefault(r.g if by else None, []).append(r)
+        for members in groups.values():
+            key = lambda r: (r.score is None, -(r.score or 0), r.title is None, r.title or "")
+            keys = sorted(map(key, members))
+            distinct = sorted(set(keys))
+            assert sorted(r.pos for r in members) == list(range(1, len(members) + 1))
+            for r in members:
+                assert r.place == keys.index(key(r)) + 1 and r.dense == distinct.index(key(r)) + 1
+                assert key(r) == keys[r.pos - 1]
+
+
+def test_numbering_has_no_window_over_a_whole_table(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "id")
+    plan = number_rows(df, [(F.col("k"), True)], names={"rank": "r"})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__range" in line.split("], [")[1] for line in windows)
+    assert number_rows(df.limit(0), [(F.col("k"), True)]).count() == 0

@@ -166,3 +166,28 @@ def test_codes_stay_whole_above_9999_parts_and_99_brands(spark):
     groups = {r.soc_group for r in orders.occupation_groups({"part": parts}).collect()}
     assert {r.occ_code.split("-")[0] for r in codes} == groups and {"07", "21", "120"} <= groups
     assert {"07-0001", "07-12000", "120-0001"} <= {r.occ_code for r in codes}
+
+
+def test_a_run_that_stops_leaves_the_tables_of_the_run_before(spark, tmp_path):
+    out = str(tmp_path / "artifacts")
+    assert sinks.published(spark, out) is None
+
+    def run(value, stops=False):
+        folder = sinks.new_run(out)
+        sinks.write_gold({"a": spark.sql(f"select {value} as v")}, folder)
+        if stops:
+            return
+        sinks.write_gold({"b": spark.sql(f"select {value} as v")}, folder)
+        sinks.publish(spark, out, folder)
+
+    def seen():
+        last = sinks.published(spark, out)
+        schema = spark.sql("select 1 as v").schema
+        return [r.v for df in sinks.read_gold(spark, last, {"a": schema, "b": schema}).values() for r in df.collect()]
+
+    run(1)
+    assert seen() == [1, 1]
+    run(2, stops=True)
+    assert seen() == [1, 1]
+    run(3)
+    assert seen() == [3, 3]
