@@ -186,7 +186,9 @@ def find_defects(
     def broken() -> DataFrame:
         # each by the metrics it looks at
         parts = []
-        for names, check in invariant_parts(sut, corpus.inputs, corpus.definition, BY):
+        for names, check in invariant_parts(
+            sut, corpus.inputs, corpus.definition, BY, apart=True
+        ):
             looked_at = [i for i in ids if any(i in moved[name] for name in names)]
             parts.append(spread(check().filter(~F.col("passed")).select(
                 "defect", F.lit(INVARIANT).alias("layer"),

@@ -177,15 +177,16 @@ def _unclassified(
 
 
 def invariant_parts(
-    metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = ()
+    metrics: Mapping[str, DataFrame], inputs: Inputs, d: Definition, by: Sequence[str] = (),
+    apart: bool = False,
 ) -> list[tuple[tuple[str, ...], Callable[[], DataFrame]]]:
     """The verdicts as independent frames, built on call, with the metrics that each looks at.
 
-    With ``by``, places are judged metric by metric, as not each version has all metrics.
+    ``apart`` judges places metric by metric, for groups that do not have all metrics.
     """
     geo, shares, mix = metrics["geo_usage"], metrics["shares"], metrics["request_mix"]
     placed = [("geo_usage", "shares", "request_mix")]
-    if by:
+    if apart:
         placed = [(name,) for name in placed[0]]
     return [
         (("shares",), lambda: _shares(shares, by)),
