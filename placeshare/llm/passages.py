@@ -10,7 +10,7 @@ to ``words`` words to the right and ``window`` - 1 to the left; neighbours are c
 right, and again for each extension to the left. A passage is repeated where some extension gives
 ``words`` words that a neighbour has, too. Overlapping finds of one text are merged. This finds
 every word that lies in a run of ``words`` words occurring twice or more, and no other (words are
-compared by 32-bit hashes, runs of them by 64-bit ones).
+compared by 32-bit hashes, first words and the runs at hot suffixes by 64-bit ones).
 
 Equal suffixes with equal surroundings are one row with a count, so large groups of copies do not
 gather in one task, and what is sorted is split by content. First words that more than ``HOT``
@@ -144,41 +144,56 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     raw = column.to_pylist()
     size = np.array([len(r) // 4 for r in raw])
     flat = np.frombuffer(b"".join(raw), dtype=">u4")
-    out = np.zeros((len(raw), width), dtype=U64)
+    out = np.zeros((len(raw), width), dtype=np.uint32)
     out[np.arange(width) < size[:, None]] = flat
     return out, size
 
 
+def _classes(before: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct pairs of a class so far and one more word."""
+    return np.unique((before.astype(U64) << U64(32)) | column.astype(U64), return_inverse=True)[1]
+
+
 def _compared(batches: Iterator[pa.RecordBatch], words: int, window: int) -> Iterator[pa.RecordBatch]:
-    """For sorted suffixes: the longest and shortest extension to the left that has a match."""
+    """For sorted suffixes: the longest and shortest extension to the left that has a match.
+
+    Rows come in the order of their words to the right. For each extension, those that share the
+    words to the left keep that order among themselves, and then no suffix shares more words to
+    the right with one than its neighbours do: only neighbours are compared.
+    """
     for part in _whole_runs(runs(batches, ["head"])):
         right, right_size = _matrix(part["right"], words)
         left, left_size = _matrix(part["left"], window - 1)
         count, low, high = (part[c].to_numpy() for c in ("n", "low", "high"))
         n = len(right)
-        base = U64(BASE)
-        with np.errstate(over="ignore"):
-            tail = np.zeros((n, words + 1), dtype=U64)
-            for j in range(words):
-                tail[:, j + 1] = mixed(tail[:, j] * base + right[:, j] + U64(1))
-            front = np.zeros((n, window), dtype=U64)
-            for j in range(window - 1):
-                front[:, j + 1] = mixed(front[:, j] * base + left[:, j] + U64(1))
-            most, least = np.full(n, -1), np.full(n, window)
-            near_low, near_high = low.copy(), high.copy()
-            for a in range(window):
-                able = np.flatnonzero((left_size >= a) & (right_size >= words - a))
-                key = mixed(tail[able, words - a] * base + front[able, a])
-                order = np.argsort(key, kind="stable")
-                same = key[order[1:]] == key[order[:-1]]
-                hit = count[able] > 1
-                for x, y in ((order[1:][same], order[:-1][same]), (order[:-1][same], order[1:][same])):
-                    hit[x] = True
-                    x, y = able[x], able[y]
-                    near_low[x] = np.minimum(near_low[x], low[y])
-                    near_high[x] = np.maximum(near_high[x], high[y])
-                hit = able[hit]
-                most[hit], least[hit] = np.maximum(most[hit], a), np.minimum(least[hit], a)
+        most, least = np.full(n, -1), np.full(n, window)
+        near_low, near_high = low.copy(), high.copy()
+        classes = np.unique(part["head"].to_numpy(), return_inverse=True)[1]
+        for a in range(window):
+            if a:
+                classes = _classes(classes, left[:, a - 1])
+            able = np.flatnonzero((left_size >= a) & (right_size >= words - a))
+            order = able[np.argsort(classes[able], kind="stable")]
+            x, y = order[:-1], order[1:]
+            together = classes[x] == classes[y]
+            x, y = x[together], y[together]
+            same = (right[x, : words - a] == right[y, : words - a]).all(axis=1)
+            x, y = x[same], y[same]
+            found = np.zeros(n, dtype=bool)
+            found[able] = count[able] > 1
+            found[x] = found[y] = True
+            # ids travel along a run of neighbours that match
+            follows = np.zeros(n, dtype=bool)
+            follows[y] = True
+            first = ~follows[order]
+            group = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            if len(order):
+                lowest, highest = np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+                near_low[order] = np.minimum(near_low[order], lowest[group])
+                near_high[order] = np.maximum(near_high[order], highest[group])
+            hit = np.flatnonzero(found)
+            most[hit], least[hit] = np.maximum(most[hit], a), np.minimum(least[hit], a)
         own = np.flatnonzero(most >= 0)
         yield pa.RecordBatch.from_arrays(
             [part["context"].combine_chunks().take(pa.array(own)), *(pa.array(a[own]) for a in (most, words - least, near_low, near_high))],

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
@@ -159,6 +160,36 @@ def test_no_task_gathers_the_suffixes_of_a_common_line(spark, odd_docs):
         passages._compared = compared
 
 
+def test_matches_come_from_the_order_of_suffixes():
+    """Neighbours in the order of the words to the right are compared; in another order, matches are lost."""
+    rng = random.Random(4)
+    base = [rng.randrange(1, 50) for _ in range(50)]
+    rows = []
+    for i in range(300):
+        right = base[: rng.randrange(21, 51)]
+        right += [rng.randrange(50, 60) for _ in range(50 - len(right))]
+        left = [rng.randrange(3) for _ in range(rng.randrange(30))]
+        rows.append((right, left))
+    rows = list({(tuple(r), tuple(x)): None for r, x in rows})
+    code = lambda words: np.array(words, dtype=">u4").tobytes()
+
+    def found(order):
+        columns = [(5, i, 1, i, i, code(rows[i][0]), code(rows[i][1])) for i in order]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*columns)], names=["head", "context", "n", "low", "high", "right", "left"])
+        return {(r["context"], r["left"], r["right"]) for b in passages._compared(iter([batch]), 50, 30) for r in b.to_pylist()}
+
+    want = set()
+    for i, (right, left) in enumerate(rows):
+        fits = [a for a in range(30) if a <= len(left) and any(
+            j != i and len(x) >= a and x[:a] == left[:a] and r[: 50 - a] == right[: 50 - a] for j, (r, x) in enumerate(rows))]
+        if fits:
+            want.add((i, max(fits), 50 - min(fits)))
+    order = sorted(range(len(rows)), key=lambda i: (code(rows[i][0]), code(rows[i][1])))
+    assert found(order) == want and len(want) > 30
+    rng.shuffle(order)
+    assert found(order) != want
+
+
 VECTORS = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())), StructField("label", LongType())])
 
 
