@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from placeshare.catalog.core import query
 from placeshare.functions import stats
+from placeshare.operators.quantiles import grouped_quantile
 from placeshare.operators import function_exposure, geo_usage, request_mix, shares
 from placeshare.quality import checks, investigate
 from placeshare.quality.reconcile import reconcile_all
@@ -54,8 +55,9 @@ query("a_median", """
     select left(occ_code, 2) as soc_group, median(observed_exposure) as median_exposure
     from occupations group by 1
 """, "median_exposure")(
-    lambda t: function_exposure.group_stats(t.inputs.occupations, t.d).select(
-        "soc_group", "median_exposure"
+    lambda t: grouped_quantile(
+        function_exposure.score_counts(t.inputs.occupations), ["soc_group"], "observed_exposure", "k",
+        name="median_exposure",
     )
 )
 
@@ -195,16 +197,19 @@ def a_issue_counts(t):
     )
 
 
-query("a_grouped_quantile", """
+@query("a_grouped_quantile", """
     select geo_level, metric, quantile_cont(share, 0.25) as lower, quantile_cont(share, 0.5) as mid,
            quantile_cont(share, 0.75) as upper
     from m_shares group by geo_level, metric
-""", "lower mid upper")(
-    lambda t: t.metrics["shares"].groupBy("geo_level", "metric").agg(*[
-        F.percentile("share", F.lit(q)).alias(name)
+""", "lower mid upper")
+def grouped_quantiles(t):
+    shares = t.results[0]["shares"]
+    parts = [
+        grouped_quantile(shares, ["geo_level", "metric"], "share", q=q, name=name)
         for q, name in ((0.25, "lower"), (0.5, "mid"), (0.75, "upper"))
-    ])
-)
+    ]
+    return parts[0].join(parts[1], ["geo_level", "metric"]).join(parts[2], ["geo_level", "metric"])
+
 
 query("a_distinct_rows", """
     select distinct source, geo_id, geo_level, country_code from stg

@@ -6,6 +6,7 @@ from placeshare.catalog.core import query
 from placeshare.catalog.metrics import ESTIMATES, estimates
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import SCHEMAS, SQL_TABLES, register_frames, sql_query
+from placeshare.operators.incremental import CellStore
 from placeshare.operators.rollup import rollup_facts
 from placeshare.plans.gate import gate_parts, run_gate
 from placeshare.plans.registry import build_metrics
@@ -312,6 +313,18 @@ def gate(t):
     ))
 
 
+@query("rollup_batches", ALL_FACTS, "value")
+def rollup_batches(t):
+    """The order lines in three batches, one of them sent twice."""
+    store = CellStore(t.spark, new_path(t.spark, "cells"), orders.SPEC)
+    for batch in (0, 1, 1, 2, 0):
+        part = orders.OrderTables(t.spark, t.sf_dir).only(
+            "lineitem", F.col("l_orderkey") % 3 == batch
+        )
+        store.add(f"lines {batch}", orders.records(part))
+    return store.facts()
+
+
 query("rollup_facts", ALL_FACTS, "value")(
     lambda t: rollup_facts(orders.records(orders.OrderTables(t.spark, t.sf_dir)), orders.SPEC)
 )

@@ -84,13 +84,29 @@ def _count_and_pct(df: DataFrame, count_name: Column, pct_name: Column) -> DataF
     )
 
 
+#: what a cell is counted by
+CELL_KEYS = ("source", "geo_id", "geography", "facet", "cluster_name")
+
+
+def cells_of(records: DataFrame, spec: RollupSpec) -> DataFrame:
+    """records(source, country, subregion, <one column per facet>) -> counts at three place levels.
+
+    The leaf counters are written once: grouping sets expand counters, never records.
+    """
+    return _by_place(written(leaf_counts(records, spec), "leaf_counts"), spec)
+
+
 def rollup_facts(records: DataFrame, spec: RollupSpec) -> DataFrame:
     """records(source, country, subregion, <one column per facet>) -> the long fact table.
 
-    The leaf counters and the cells of the three place levels are written once, because the rest
-    reads them several times: without that, every use would scan the raw records again.
+    The cells of the three place levels are written once, because the rest reads them several
+    times: without that, every use would count again.
     """
-    cells = written(_by_place(written(leaf_counts(records, spec), "leaf_counts"), spec), "cells")
+    return facts_of(written(cells_of(records, spec), "cells"), spec)
+
+
+def facts_of(cells: DataFrame, spec: RollupSpec) -> DataFrame:
+    """Counts by ``CELL_KEYS`` -> the long fact table of counts and percentages."""
     totals = cells.groupBy("source", "geo_id", "facet").agg(F.sum("n").alias("total"))
 
     level = F.lit(None).cast("int")

@@ -86,6 +86,12 @@ class OrderTables:
             self._opened[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
         return self._opened[name]
 
+    def only(self, name: str, condition: Column) -> "OrderTables":
+        """The same tables with some rows of one of them."""
+        out = OrderTables(self._spark, self._folder)
+        out._opened = {**self._opened, name: self[name].filter(condition)}
+        return out
+
 
 def records(tables: OrderTables) -> DataFrame:
     """source, country, subregion and one label per facet, for every order line.
