@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from placeshare.quality import golden as data
 from placeshare.quality.checks import CHECKS, run_check, run_checks
 
 
@@ -27,11 +28,11 @@ CORRUPTIONS = [
      "date '2026-02-20'", 1),
     ("shares_sum_to_100", CA_USE.format("pct"), "value", "value + 5", 1),
     ("counts_agree_with_percentages", CA_USE.format("pct"), "value", "value + 5", 1),
-    ("unknown_country_codes", "geo_id = 'PL'", "geo_id", "'ZQ'", 1),
-    ("unknown_subregion_parents", "geo_id = 'PE-LIM'", "geo_id", "'ZQ-A'", 1),
-    ("unexplained_rollup_gaps", "geo_id = 'CA-QC' and variable = 'usage_count'", "value",
+    ("unknown_country_codes", "geo_id = 'S1'", "geo_id", "'ZQ'", 1),
+    ("unknown_subregion_parents", "geo_id = 'R1-main'", "geo_id", "'ZQ-A'", 1),
+    ("unexplained_rollup_gaps", "geo_id = 'CA-large' and variable = 'usage_count'", "value",
      "value + 7", 1),
-    ("documented_rollup_gaps", "geo_id = 'CA-QC' and variable = 'usage_count'", "value",
+    ("documented_rollup_gaps", "geo_id = 'CA-large' and variable = 'usage_count'", "value",
      "value + 7", 1),
 ]
 
@@ -56,7 +57,7 @@ def test_a_negative_lower_bound_is_information_only(golden):
 
 def test_a_repeated_row(golden):
     facts = golden.inputs.facts
-    again = facts.filter("geo_id = 'BR' and variable = 'usage_count'")
+    again = facts.filter("geo_id = 'BIG' and variable = 'usage_count'")
     assert value(golden, "duplicate_keys") == (0.0, True)
     assert value(golden, "duplicate_keys", facts=facts.unionAll(again)) == (1.0, False)
 
@@ -70,8 +71,8 @@ def test_a_missing_source(golden):
 def test_a_territory_listed_twice_explains_the_gap(golden, spark):
     facts = golden.inputs.facts
     usage = F.col("variable") == "usage_count"
-    inside = facts.filter((F.col("geo_id") == "CA-QC") & usage)
-    country = facts.filter((F.col("geo_id") == "IS") & usage)
+    inside = facts.filter((F.col("geo_id") == "CA-large") & usage)
+    country = facts.filter((F.col("geo_id") == "S0") & usage)
     more = (
         facts
         .unionAll(inside.withColumn("geo_id", F.lit("CA-XT")).withColumn("value", F.lit(7.0)))
@@ -83,18 +84,23 @@ def test_a_territory_listed_twice_explains_the_gap(golden, spark):
     assert value(golden, "unexplained_rollup_gaps", **tables) == (0.0, True)
 
 
+def small_cells():
+    cells = [row[-1] for row in data.fact_rows() if row[-3].endswith("_count")]
+    return sum(n < 15 for n in cells) / len(cells)
+
+
 def test_coverage_values(golden):
     rows = {r.check: r for r in run_checks(golden.inputs, golden.d, ["coverage"]).collect()}
     assert set(rows) == {
         "countries_missing_from_sample_total", "unclassified_geography_share",
         "countries_without_population", "small_count_cells",
     }
-    assert rows["countries_missing_from_sample_total"].value == pytest.approx(1 - 6500 / 98945)
+    assert rows["countries_missing_from_sample_total"].value == pytest.approx(1 - 11_460 / 60_000)
     assert not rows["countries_missing_from_sample_total"].passed
-    assert rows["unclassified_geography_share"].value == pytest.approx(430 / 98945)
+    assert rows["unclassified_geography_share"].value == pytest.approx(180 / 60_000)
     assert (rows["countries_without_population"].value,
-            rows["countries_without_population"].passed) == (2.0, True)
-    assert rows["small_count_cells"].value == pytest.approx(5 / 121, abs=0.02)
+            rows["countries_without_population"].passed) == (1.0, True)
+    assert rows["small_count_cells"].value == pytest.approx(small_cells())
 
 
 def test_nothing_to_divide_is_no_finding(golden):
@@ -104,7 +110,7 @@ def test_nothing_to_divide_is_no_finding(golden):
 
 
 def test_an_unknown_lens_category(golden, spark):
-    lens = spark.createDataFrame([("money",), ("no such thing",), (None,)], "cluster string")
+    lens = spark.createDataFrame([("finance",), ("no such thing",), (None,)], "cluster string")
     assert value(golden, "finance_lens_clusters_exist") == (0.0, True)
     assert value(golden, "finance_lens_clusters_exist", lens=lens) == (1.0, False)
 
@@ -112,7 +118,7 @@ def test_an_unknown_lens_category(golden, spark):
 def test_bad_occupations(golden, spark):
     jobs = golden.inputs.occupations
     bad = spark.createDataFrame(
-        [("13-1010", "again", 0.1), ("1-2", "code", 0.1), ("99-0001", "score", 1.7)], jobs.schema
+        [("13-1000", "again", 0.1), ("1-2", "code", 0.1), ("99-0001", "score", 1.7)], jobs.schema
     )
     assert value(golden, "job_exposure_contract") == (0.0, True)
     assert value(golden, "job_exposure_contract", occupations=jobs.unionAll(bad)) == (3.0, False)

@@ -48,7 +48,7 @@ def test_an_error_is_recorded_and_does_not_count_as_caught(golden, spark):
 def test_the_report_of_one_defect(golden):
     report = defect_report(golden.corpus, "m06")
     assert {(r.metric, r.column, r.cells) for r in report.cells.collect()} == {
-        ("geo_usage", "per_100k", 5)
+        ("geo_usage", "per_100k", 10)
     }
     assert [r.metric for r in report.moved.collect()] == ["geo_usage"]
     assert report.unmoved.count() == 5

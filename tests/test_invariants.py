@@ -43,7 +43,7 @@ def test_a_rest_group_that_contains_the_place(golden):
 def test_an_unclassified_place(golden):
     shares = golden.metrics["shares"].withColumn(
         "geo_id",
-        F.when(F.col("geo_id") == "PL", "PL-not_classified").otherwise(F.col("geo_id")),
+        F.when(F.col("geo_id") == "S1", "S1-not_classified").otherwise(F.col("geo_id")),
     )
     assert "no_unclassified_place" in failed(golden, shares=shares)
 
@@ -57,7 +57,7 @@ def test_a_lost_occupation(golden):
 
 def test_an_unknown_place_in_the_index(golden):
     usage = golden.metrics["geo_usage"].withColumn(
-        "geo_id", F.when(F.col("geo_id") == "PL", "GX").otherwise(F.col("geo_id"))
+        "geo_id", F.when(F.col("geo_id") == "S1", "GX").otherwise(F.col("geo_id"))
     )
     assert set(failed(golden, geo_usage=usage)) == {"indexed_places_are_known"}
 

@@ -8,6 +8,7 @@ from placeshare.__main__ import main
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import SCHEMAS
 from placeshare.plans.pipeline import run_from_files
+from placeshare.sources import sinks
 from placeshare.sources.loading import ReferenceFiles, load_inputs, load_reference
 
 REFERENCE = ("occupation_groups", "occupations", "lens", "territories")
@@ -86,7 +87,7 @@ def test_the_exit_status_is_the_verdict(spark, files, tmp_path):
         [*[f"--facts={k}={v}" for k, v in facts.items()], "--reference", str(folder),
          "--published", str(published), "--out", str(out), "--skip-defects"], spark,
     )
-    summary = spark.read.json(str(out / "qa" / "summary")).first()
+    summary = spark.read.json(f"{sinks.published(spark, str(out))}/qa/summary").first()
     assert summary.sources_match_published_checksums
     assert status == (0 if summary.all_gates_passed else 1)
     # one check fails on the hand-made data, by design

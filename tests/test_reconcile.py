@@ -35,7 +35,7 @@ def test_texts_and_missing_values_are_compared(golden):
     issues = reconcile_metric("function_exposure", renamed, exposure).collect()
     assert {i.column for i in issues} == {"most_exposed_occupation", "mean_exposure"}
     text = next(i for i in issues if i.column == "most_exposed_occupation")
-    assert (text.sut_text, text.ref_text, text.sut_value) == (None, "Planner", None)
+    assert (text.sut_text, text.ref_text, text.sut_value) == (None, "Planning Z", None)
     both_missing = reconcile_metric("function_exposure", renamed, renamed)
     assert both_missing.count() == 0
 
@@ -45,7 +45,7 @@ def test_a_difference_within_tolerance_is_no_issue(golden):
     close = usage.withColumn("per_100k", F.col("per_100k") * (1 + 1e-12))
     off = usage.withColumn("per_100k", F.col("per_100k") * (1 + 1e-6))
     assert reconcile_metric("geo_usage", close, usage).count() == 0
-    assert reconcile_metric("geo_usage", off, usage).count() == 5
+    assert reconcile_metric("geo_usage", off, usage).count() == 10
 
 
 def test_a_missing_column_is_an_error(golden):
@@ -57,7 +57,7 @@ def test_a_missing_column_is_an_error(golden):
 def test_the_summary_counts_cells_and_mismatches(golden):
     summary = {r.metric: r for r in reconcile_summary(golden.metrics, golden.reference).collect()}
     assert {r.status for r in summary.values()} == {"match"}
-    assert summary["geo_usage"].cells_compared == 5 * 8
+    assert summary["geo_usage"].cells_compared == 10 * 8
     assert summary["platform_gap"].rows_reference == 4
 
 
