@@ -15,6 +15,7 @@ from placeshare.definition import Definition
 from placeshare.plans.pipeline import gate_passed, run_from_files
 from placeshare.quality.defects import DEFECTS
 from placeshare.sources.loading import ReferenceFiles
+from placeshare.sources.storage import remove_intermediate
 
 
 def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -36,8 +37,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if given.published:
         with open(given.published, encoding="utf-8") as listed:
             published = json.load(listed)
+    own_session = spark is None
+    spark = spark or SparkSession.builder.appName("placeshare").getOrCreate()
     run = run_from_files(
-        spark or SparkSession.builder.appName("placeshare").getOrCreate(),
+        spark,
         dict(pair.split("=", 1) for pair in given.facts),
         ReferenceFiles.in_folder(given.reference),
         published,
@@ -48,7 +51,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         given.out,
         None if given.skip_defects else DEFECTS,
     )
-    return 0 if gate_passed(run) else 1
+    passed = gate_passed(run)
+    if own_session:  # the artifacts are published; nothing reads the steps between any more
+        remove_intermediate(spark)
+    return 0 if passed else 1
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -140,12 +140,28 @@ def row_checks(facts: DataFrame, d: Definition) -> DataFrame:
     return _as_checks(folded)
 
 
-def duplicate_keys(facts: DataFrame) -> DataFrame:
+def key_signature(columns: Sequence[Column]) -> Column:
+    """64 bits of a key; a hash passes over nulls, so where they are is hashed, too."""
+    return F.xxhash64(*columns, *[column.isNull() for column in columns])
+
+
+def duplicate_keys(
+    facts: DataFrame, signature: Callable[[Sequence[Column]], Column] = key_signature
+) -> DataFrame:
+    """How many keys occur twice or more.
+
+    Only signatures of keys are shuffled and counted; whole keys only of rows whose signature occurs
+    twice, which tells real duplicates from keys that share a signature by chance.
+    """
     keys = [
         F.col("source"), F.col("geo_id"), F.col("facet"), F.col("level"), F.col("variable"),
         places.cluster_or_blank(F.col("cluster_name")).alias("cluster"),
     ]
-    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").agg(
+    names = ["source", "geo_id", "facet", "level", "variable", "cluster"]
+    keyed = facts.select(*keys).withColumn("signature", signature([F.col(n) for n in names]))
+    twice = keyed.groupBy("signature").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    suspects = keyed.join(twice.select("signature"), "signature", "left_semi")
+    return suspects.groupBy(*names).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").agg(
         F.count(F.lit(1)).alias("duplicate_keys")
     )
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from placeshare.definition import Definition
 from placeshare.functions import places, stats
 from placeshare.inputs import Inputs
-from placeshare.operators.joins import mark_in
+from placeshare.operators.joins import join_parent, mark_in
 
 BRACKET_SLACK = 1e-12
 SUM_SLACK = 1e-9
+SALTS = Definition().salts  # copies of a parent, as most places hang off the root
 
 INVARIANTS: dict[str, str] = {
     "shares_within_unit_range": "a share lies outside 0 to 1",
@@ -109,10 +110,13 @@ def rebuilt_parents(rest: DataFrame, shares: DataFrame, by: Sequence[str] = ())
         *by, "source", "metric", F.col("geo_id").alias("parent_id"),
         F.col("share").alias("parent_share"),
     )
-    return rest.withColumn(
+    rebuilt = rest.withColumn(
         "rebuilt",
         stats.ratio(F.col("x") + F.col("x_rest"), F.col("n") + F.col("n_rest")),
-    ).join(parents, [*by, "source", "metric", "parent_id"], "left")
+    )
+    return join_parent(
+        rebuilt, parents, [*by, "source", "metric", "parent_id"], ["geo_id"], SALTS, how="left"
+    )
 
 
 def _vs_rest(rest: DataFrame, shares: DataFrame, by: Sequence[str]) -> DataFrame:

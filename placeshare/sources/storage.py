@@ -25,8 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+_written: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/placeshare-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_dir(spark)}/placeshare-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that this session has written between its steps; says how many there were.
+
+    For the end of a run, when its results are published: frames that read these tables, among them
+    those of a ``Run``, cannot be used any more.
+    """
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(settings).delete(path, True)
+    return len(folders)
 
 
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

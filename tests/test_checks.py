@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeshare.quality import golden as data
-from placeshare.quality.checks import CHECKS, run_check, run_checks
+from placeshare.quality.checks import CHECKS, duplicate_keys, key_signature, run_check, run_checks
 
 
 def value(golden, name, **tables):
@@ -136,3 +136,15 @@ def test_there_are_twenty_and_only_the_sample_total_fails(golden):
     assert [r.check for r in rows if not r.passed] == ["countries_missing_from_sample_total"]
     with pytest.raises(ValueError):
         run_checks(golden.inputs, golden.d, ["no such layer"])
+
+
+def test_signatures_that_collide_are_no_duplicates(golden):
+    facts = golden.inputs.facts
+    again = facts.unionAll(facts.filter("geo_id in ('BIG', 'S1') and variable = 'usage_count'"))
+    for signature in (key_signature, lambda columns: F.lit(1), lambda columns: F.length(columns[1])):
+        assert duplicate_keys(facts, signature).first().duplicate_keys == 0
+        assert duplicate_keys(again, signature).first().duplicate_keys == 2
+    shifted = facts.limit(1).selectExpr(*[f"cast(null as string) as {c}" if c == "facet" else c for c in facts.columns])
+    moved = shifted.selectExpr(*[{"facet": "variable", "variable": "cast(null as string)"}.get(c, c) + f" as {c}" for c in facts.columns])
+    hashes = shifted.unionAll(moved).select(key_signature([F.col("facet"), F.col("variable")]).alias("h"))
+    assert hashes.distinct().count() == 2

@@ -1,11 +1,12 @@
 import gzip
 import hashlib
+import os
 
 import pytest
 
 from placeshare.definition import FACT_COLUMNS
 from placeshare.inputs import FACT_SCHEMA, typed
-from placeshare.sources import dimensions, facts, sinks
+from placeshare.sources import dimensions, facts, sinks, storage
 from placeshare.sources.manifest import READ_BYTES, source_manifest
 from placeshare.sources.storage import shared_dir, written
 
@@ -191,3 +192,12 @@ def test_a_run_that_stops_leaves_the_tables_of_the_run_before(spark, tmp_path):
     assert seen() == [1, 1]
     run(3)
     assert seen() == [3, 3]
+
+
+def test_intermediate_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_written", {})  # leaves those of other tests alone
+    table = written(spark.range(5), "some")
+    folder = os.path.dirname(os.path.dirname(table.inputFiles()[0])).removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(folder.replace("//", "/"))
+    assert storage.remove_intermediate(spark) == 1 and not os.path.exists(folder.replace("//", "/"))
+    assert storage.remove_intermediate(spark) == 0
