@@ -13,8 +13,10 @@ search needs the intervals of both directions at once.
 Words are dealt to shards by the half that must match, once for each search, so a word meets only
 those that agree with it in one half; each shard has the index of its direction over its own words. A
 half that more than ``SHARD`` words share is dealt as tiles of words searched and words indexed, so no
-task holds more than some ``SHARD`` of each, whatever the vocabulary. A pair is found by the first
-search if its first halves agree, else by the second, so each is found once.
+task holds more than some ``SHARD`` of each, whatever the vocabulary. The words searched go through a
+tile's index in portions, of which a step tries some ``TRIED`` signs, so what a task holds beside the
+index does not grow with the tile. A pair is found by the first search if its first halves agree, else
+by the second, so each is found once.
 
 Words are counted over all documents before anything is shuffled. Null texts have no words, texts
 without letters neither; a null doc_id counts as the empty text in the crc32. Repeated rows count
@@ -35,7 +37,8 @@ from placeshare.llm.common import runs, stored
 
 SHARD = 50_000
 NARROW = 8
-CELLS = 1 << 22
+CELLS = 1 << 19
+TRIED = 1 << 18
 END = 1  # the sign between words; 0 ends the text
 
 
@@ -218,27 +221,31 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tflat, tstart, tlength = _coded(list(known), codes)
         flat, start, length = _coded([turned[i] for i in asked.tolist()], codes)
         half, place = tile["half"].to_numpy()[asked], np.array(list(known.values()))
-        found = list(_candidates(Index(tflat, tlength), flat, start, length, half))
-        if not found:
-            continue
-        q, t = (np.concatenate(x) for x in zip(*found))
-        pair = np.unique((q * len(known) + t)[t >= 0])  # no word begins with the last |
-        q, t = pair // len(known), pair % len(known)
-        for q, t, left in _near(flat, start, length, tflat, tstart, tlength, q, t):
-            shorter = np.minimum(length[q], tlength[t])
-            right = shorter // 2 == half[q]
-            if back:  # the first search has those whose first halves agree
-                first, second = ([words[k] for k in x] for x in (asked[q].tolist(), place[t].tolist()))
-                agree = np.array([a[:h] == b[:h] for a, b, h in zip(first, second, (shorter // 2).tolist())], dtype=bool)
-                right &= ~agree
-            else:
-                right &= left >= half[q]
-            q, t = q[right], t[right]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words[k] for k in asked[q].tolist()], pa.string()),
-                 pa.array([words[k] for k in place[t].tolist()], pa.string()), pa.array(weight[place[t]], pa.int64())],
-                names=["word", "near", "near_n"],
-            )
+        index = Index(tflat, tlength)
+        portion = max(1, TRIED // (len(index.letters) + 1))
+        for first in range(0, len(asked), portion):
+            some = slice(first, first + portion)
+            found = list(_candidates(index, flat, start[some], length[some], half[some]))
+            if not found:
+                continue
+            q, t = (np.concatenate(x) for x in zip(*found))
+            pair = np.unique(((q + first) * len(known) + t)[t >= 0])  # no word begins with the last |
+            q, t = pair // len(known), pair % len(known)
+            for q, t, left in _near(flat, start, length, tflat, tstart, tlength, q, t):
+                shorter = np.minimum(length[q], tlength[t])
+                right = shorter // 2 == half[q]
+                if back:  # the first search has those whose first halves agree
+                    one, two = ([words[k] for k in x] for x in (asked[q].tolist(), place[t].tolist()))
+                    agree = np.array([a[:h] == b[:h] for a, b, h in zip(one, two, (shorter // 2).tolist())], dtype=bool)
+                    right &= ~agree
+                else:
+                    right &= left >= half[q]
+                q, t = q[right], t[right]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([words[k] for k in asked[q].tolist()], pa.string()),
+                     pa.array([words[k] for k in place[t].tolist()], pa.string()), pa.array(weight[place[t]], pa.int64())],
+                    names=["word", "near", "near_n"],
+                )
 
 
 def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:

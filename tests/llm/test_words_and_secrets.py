@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
@@ -79,6 +81,28 @@ def test_spelling_variants_equal_brute_force(spark, shard):
     assert len(pairs) == len(set(pairs)) == sum(map(len, neighbours(words).values()))
 
 
+def test_a_large_tile_is_searched_in_portions():
+    rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyzàéèüöäßñçâêîôûæøåëïÿ"
+    stems = ["".join(rng.choices(letters, k=4)) for _ in range(40)]
+    words = sorted({rng.choice(stems) + "".join(rng.choices(letters, k=rng.randrange(3, 7))) for _ in range(20_000)})
+    size = len(words)
+    tile = pa.table({
+        "side": pa.array([0] * size, pa.int32()), **{k: pa.array([0] * size, pa.int64()) for k in ("shard", "i", "j")},
+        "indexed": [True] * size, "asked": [True] * size, "half": pa.array([len(w) // 2 for w in words], pa.int32()),
+        "word": words, "n": pa.array([7] * size, pa.int64()),
+    })
+    tracemalloc.start()
+    found = pa.Table.from_batches(spelling._pairs(iter(tile.to_batches())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = neighbours(words := set(words))
+    pairs = list(zip(found["word"].to_pylist(), found["near"].to_pylist()))
+    # each word is asked with the half of its own length here
+    halves = {(w, v): min(len(w), len(v)) // 2 for w in words for v in near[w]}
+    assert sorted(pairs) == sorted((w, v) for (w, v), m in halves.items() if len(w) // 2 == m and w[:m] == v[:m])
+    assert peak < 128 << 20
+
+
 def test_words_of_documents_equal_brute_force(spark, odd_docs, no_docs):
     rng = random.Random(2)
     stems = ["Straße", "Àpropos", "language", "langauge", "languages", "languagés", "models", "KKnvin", "mod×els", "short"]
