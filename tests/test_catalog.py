@@ -1,8 +1,13 @@
 """Named queries against their SQL on the smallest data; ``agreement.py`` runs all of them."""
 
+import threading
+
 import pytest
 
 import __spark_entry__ as entry
+from placeshare.catalog import tables
+from placeshare.plans import jobs, pipeline
+from placeshare.sources import orders
 from tests.agreement import connection, disagreement
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,3 +35,45 @@ def test_the_flagship_has_rows(spark):
 def test_every_counterpart_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.oracle_sql()) >= 165
+
+
+def test_the_gate_hashes_files_and_builds_the_hand_made_data_beside_the_counting(spark, monkeypatch):
+    together = threading.Barrier(3, timeout=20)
+
+    class Reached(Exception):
+        pass
+
+    class Base:
+        sf_dir, d = "/none", None
+
+        @property
+        def results(self):
+            together.wait()
+            return {}, {}
+
+    def hand_made(spark):
+        together.wait()
+        raise Reached
+
+    base = Base()
+    base.spark = spark
+    monkeypatch.setattr(tables, "published_digests", lambda t: together.wait() and {} or {})
+    monkeypatch.setattr(pipeline, "golden_corpus", hand_made)
+    with pytest.raises(Reached):
+        tables.gate(base)
+
+
+def test_dimensions_are_written_beside_the_facts(spark):
+    together = threading.Barrier(2, timeout=20)
+    builders = orders.order_builders(spark, SF_DIR)
+
+    def waiting(name):
+        together.wait()
+        return builders[name]()
+
+    slow = {name: lambda n=name: waiting(n) for name in ("facts", "occupations")}
+    inputs = jobs.materialized_from(spark, {**builders, **slow})
+    plain = orders.order_inputs(spark, SF_DIR)
+    for name in ("facts", "occupations", "countries"):
+        mine, theirs = (sorted(map(str, getattr(side, name).collect())) for side in (inputs, plain))
+        assert mine == theirs and mine
