@@ -1,6 +1,7 @@
 """Named queries against their SQL on the smallest data; ``agreement.py`` runs all of them."""
 
 import threading
+from pathlib import Path
 
 import pytest
 
@@ -28,6 +29,20 @@ def test_spark_and_sql_agree(spark, con, name):
     assert disagreement(spark, con, name, SF_DIR) is None
 
 
+def test_what_the_data_breaks_is_not_what_a_defect_breaks(spark, tmp_path):
+    for table in Path(SF_DIR).glob("*.parquet"):
+        if table.name != "part.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    parts = spark.read.parquet(f"{SF_DIR}/part.parquet")  # mean exposures above 1
+    parts.withColumn("p_size", parts.p_size + 50).write.parquet(str(tmp_path / "part.parquet"))
+    con = connection(SF_DIR)
+    con.execute(f"create or replace view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    verdicts = con.execute(entry.oracle_sql()["check_invariants"]).fetchall()
+    assert [name for name, passed, _ in verdicts if not passed] == ["exposure_in_range"]
+    for name in ("check_invariants", "defect_report"):
+        assert disagreement(spark, con, name, str(tmp_path)) is None
+
+
 def test_the_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0
 

@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from placeshare.definition import Definition, UnknownKnobError
 from placeshare.plans.registry import affected_metrics
 from placeshare.quality.defects import (
-    DEFECTS, Defect, defect_report, defect_run, defect_suite, override,
+    DEFECTS, Defect, defect_report, defect_run, defect_suite, make_corpus, override,
 )
 
 
@@ -55,3 +56,12 @@ def test_the_report_of_one_defect(golden):
     assert report.largest.first().error_pct == pytest.approx(900)
     with pytest.raises(ValueError):
         defect_report(golden.corpus, "M99")
+
+
+def test_a_report_tells_what_the_defect_breaks_from_what_was_broken(golden):
+    odd = golden.inputs.replace(occupations=golden.inputs.occupations.withColumn(
+        "observed_exposure", F.col("observed_exposure") + 1
+    ))
+    report = defect_report(make_corpus("odd", odd, golden.d), "M21")
+    assert {r.invariant for r in report.broken.collect()} == {"exposure_in_range", "gap_is_api_minus_chat"}
+    assert [r.invariant for r in report.newly_broken.collect()] == ["gap_is_api_minus_chat"]
