@@ -318,8 +318,8 @@ def pseudonymised(docs: DataFrame, key: str, backwards: bool = False, count: str
     new = F.transform(hidden[0], lambda m: pseudonym(k, m, backwards))
     out = docs.withColumn(hidden[0], found).withColumn(hidden[1], F.when(F.size(hidden[0]) > 0, new))
     pieces = F.zip_with(between, F.array_append(F.col(f"{hidden[1]}.text"), F.lit("")), lambda a, b: F.concat(a, b))
-    text = F.when(F.size(hidden[0]) > 0, F.concat_ws("", pieces)).otherwise(F.col("text"))
     changed = F.aggregate(f"{hidden[1]}.n", F.lit(0), lambda s, n: s + n)
+    text = F.when(changed > 0, F.concat_ws("", pieces)).otherwise(F.col("text"))  # texts that stay are not split
     named = []
     for name in docs.columns:
         named.append(
